@@ -1,11 +1,192 @@
-"""Query registry of the engine's own operators."""
+"""Query registry of the engine's own operators, each over whole tables, with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def queries():
-    return {}
+from .functions import text as t
+from .operators import blueprint as bp
+from .operators import metrics, practice, retrieve, segment, verify
+from .sources import readers
+
+NOW = "2024-01-29 00:00:00"
+
+
+def _read(spark: SparkSession, sf_dir: str, *tables: str) -> list[DataFrame]:
+    return [spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in tables]
+
+
+def content_ids(spark, d):
+    (docs,) = _read(spark, d, "documents")
+    return docs.select("doc_id", t.content_id(F.col("text").cast("binary")).alias("content_id"), F.length(t.squash(F.col("text"))).cast("long").alias("squashed"), F.length("text").cast("long").alias("chars"))
+
+
+def search_bm25(spark, d):
+    docs, bench = _read(spark, d, "documents", "benchmark")
+    return retrieve.bm25(docs, bench, "doc_id", "item_id", 5)
+
+
+def search_cosine(spark, d):
+    (v,) = _read(spark, d, "embeddings")
+    return retrieve.cosine_top(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), top=10)
+
+
+def search_fused(spark, d):
+    """Two rankings of the same texts, by BM25 and by shared stems, fused by rank."""
+    docs, bench = _read(spark, d, "documents", "benchmark")
+    words = retrieve.bm25(docs, bench, "doc_id", "item_id", 20)
+    stems = docs.select("doc_id", F.explode(t.content_stems(F.col("text"))).alias("stem"))
+    asked = bench.select("item_id", F.explode(t.content_stems(F.col("text"))).alias("stem"))
+    shared = asked.join(stems, "stem").groupBy("item_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
+    return retrieve.fuse([words, retrieve.best(shared, "item_id", "doc_id", 20)], "item_id", "doc_id", 5)
+
+
+def hit_rates(spark, d):
+    docs, bench = _read(spark, d, "documents", "benchmark")
+    gold = _gold(docs, bench)
+    return metrics.hit_rates(retrieve.bm25(docs, bench, "doc_id", "item_id", 10), gold, "item_id", "doc_id")
+
+
+def _gold(docs, bench):
+    """Documents that hold an item whole: met by the item's first five words, then checked."""
+    key = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 4), lambda i: F.array_join(F.slice(c, i, 5), " "))
+    split = lambda df: df.withColumn("w", F.split("text", " ")).where("size(w) >= 5")
+    a = split(bench).select("item_id", F.col("text").alias("item"), F.array_join(F.slice("w", 2, 4), " ").alias("k"))
+    b = split(docs).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("k"))
+    met = b.join(a, "k").select("doc_id", "item_id", "item").distinct()
+    return met.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
+
+
+def chunk_stats(spark, d):
+    (docs,) = _read(spark, d, "documents")
+    c = segment.chunks(docs, "doc_id")
+    return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("chunk")).cast("long").alias("longest"), F.sum(F.length(F.regexp_replace("chunk", r"\s+", ""))).alias("kept_chars"))
+
+
+def sentence_counts(spark, d):
+    (docs,) = _read(spark, d, "documents")
+    return docs.select("doc_id", F.size(t.sentences(F.col("text"))).cast("long").alias("sentences"))
+
+
+def source_support(spark, d):
+    """How far each item's stems are supported by the documents that share any."""
+    docs, bench = _read(spark, d, "documents", "benchmark")
+    stems = docs.select("doc_id", F.explode(t.content_stems(F.col("text"))).alias("stem"))
+    asked = bench.select("item_id", t.content_stems(F.col("text")).alias("s")).where("size(s) >= 3")
+    hits = asked.select("item_id", F.size("s").alias("n"), F.explode("s").alias("stem")).join(stems, "stem").groupBy("item_id", "doc_id").agg((F.count("*") / F.first("n")).alias("r"))
+    return hits.where(F.col("r") >= verify.LEAST_SUPPORT).groupBy("item_id").agg(F.count("*").alias("documents"), F.bround(F.max("r"), 4).alias("best"))
+
+
+def copied_items(spark, d):
+    """Items whose stems overlap by Jaccard 0.7 or more, met through common stems."""
+    (b,) = _read(spark, d, "benchmark")
+    q = b.select("item_id", "text", F.lit(1).alias("sid"))
+    return verify.nearest_copy(q, q.withColumnRenamed("item_id", "other_id"), "item_id", "other_id", "sid").select("item_id", F.bround("nearest", 4).alias("nearest"), (F.col("nearest") >= verify.COPY).alias("copy"))
+
+
+def _attempts(spark, d):
+    (e,) = _read(spark, d, "events")
+    awarded = F.pmod(F.floor(F.abs("value") * 100), F.lit(6)).cast("long")
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("question"), F.col("event_type").alias("section"), awarded.alias("awarded"), F.lit(5).cast("long").alias("most"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("due_at"))
 
 
-def oracle_sql():
-    return {}
+def latest_attempts(spark, d):
+    return practice.latest(_attempts(spark, d), "question", "section").select("question", "section", "id", "awarded")
+
+
+def due_retries(spark, d):
+    return practice.due(_attempts(spark, d), F.lit(NOW).cast("timestamp"), "question", "section").select("question", "section", "id", "awarded")
+
+
+def section_mastery(spark, d):
+    return practice.mastery(practice.latest(_attempts(spark, d), "question", "section"), "section")
+
+
+def weak_topics(spark, d):
+    m = practice.mastery(practice.latest(_attempts(spark, d), "question", "section"), "section")
+    return practice.weak_topics(m, None, "section", 3)
+
+
+def exam_blueprint(spark, d):
+    """Orders as questions, their lines as the sections they match: weights with recency, shares."""
+    return bp.blueprint(_matches(spark, d)).select("sid", "weight", "share", "marks", "questions")
+
+
+def _matches(spark, d):
+    o, li = _read(spark, d, "orders", "lineitem")
+    line = li.select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity").join(o.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey"))
+    return line.select(F.col("l_orderkey").alias("question"), F.pmod(F.col("l_orderkey"), F.lit(11)).cast("long").alias("marks"), F.year("o_orderdate").alias("year"), F.lit("d").alias("doc_id"), F.concat(F.pmod(F.col("l_suppkey"), F.lit(9)).cast("string"), F.lit("."), F.pmod(F.col("l_suppkey"), F.lit(4)).cast("string")).alias("sid"), rank.alias("rank"), F.col("l_quantity").cast("double").alias("score"))
+
+
+def chapter_rollup(spark, d):
+    return bp.chapter_shares(bp.blueprint(_matches(spark, d)))
+
+
+def label_rates(spark, d):
+    """How often labels hold, overall and by language."""
+    docs, labels = _read(spark, d, "documents", "labels")
+    j = labels.join(docs.select("doc_id", "lang"), "doc_id")
+    j.createOrReplaceTempView("_lectern_labels")
+    return spark.sql("SELECT coalesce(lang, 'all') AS lang, count(*) AS n, bround(avg(quality), 4) AS quality, bround(avg(toxic), 4) AS toxic FROM _lectern_labels GROUP BY GROUPING SETS ((lang), ())")
+
+
+def chat_window(spark, d):
+    (c,) = _read(spark, d, "conversations")
+    return readers.last_turns(c).select("conv_id", "turn", "role", "back")
+
+
+def item_error_rates(spark, d):
+    """Character error of each item's first 80 letters and digits against the next item's."""
+    (b,) = _read(spark, d, "benchmark")
+    x = b.select("item_id", F.substring(t.squash(F.col("text")), 1, 80).alias("a"))
+    y = x.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b"))
+    return x.join(y, "item_id").select("item_id", F.bround(t.error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
+
+
+_TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+_STOP = ", ".join(f"'{w}'" for w in t.STOPWORDS)
+_CLEAN = r"regexp_replace(regexp_replace(text, '(?s)\$\$.*?\$\$|\$[^$]*\$|\\\(.*?\\\)|\\\[.*?\\\]', ' ', 'g'), '(?i)\(\s*\d+\s*marks?[^)]*\)', ' ', 'g')"
+_STEMS = f"list_distinct(list_transform(list_filter(regexp_extract_all(lower({_CLEAN}), '[a-z][a-z-]{{3,}}'), lambda w: w NOT IN ({_STOP})), lambda w: w[1:6]))"
+_BM25 = f"""
+t AS (SELECT doc_id, {_TOK} AS t FROM documents), size AS (SELECT count(*) AS total, avg(len(coalesce(t, []))) AS mean FROM t),
+q AS (SELECT item_id, unnest(list_distinct({_TOK})) AS term FROM benchmark),
+p AS (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM t), tf AS (SELECT doc_id, term, count(*) AS tf, any_value(length) AS length FROM p GROUP BY doc_id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+sc AS (SELECT item_id, doc_id, round_even(sum(greatest(ln((total - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+       FROM q JOIN tf USING (term) JOIN df USING (term), size GROUP BY item_id, doc_id),
+bm AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc)"""
+_ATT = "a AS (SELECT event_id AS id, user_id AS question, event_type AS section, (floor(abs(value) * 100)::BIGINT % 6)::BIGINT AS awarded, 5::BIGINT AS most, ts + INTERVAL 1 DAY AS due_at FROM events), l AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY question, section ORDER BY id DESC) = 1), m AS (SELECT section, count(*) AS attempts, sum(awarded)::BIGINT AS awarded, sum(most)::BIGINT AS most, round_even(sum(awarded)::DOUBLE / sum(most), 4) AS score FROM l GROUP BY section)"
+_BLUE = """m AS (SELECT l_orderkey AS question, l_orderkey % 11 AS marks, year(o_orderdate) AS year, (l_suppkey % 9)::VARCHAR || '.' || (l_suppkey % 4)::VARCHAR AS sid,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS rank, l_quantity::DOUBLE AS score FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+w AS (SELECT *, (CASE WHEN marks = 0 THEN 1 ELSE marks END) * (1 + 0.5 * coalesce((year - min(year) OVER ())::DOUBLE / nullif(max(year) OVER () - min(year) OVER (), 0), 0)) * score / sum(score) OVER (PARTITION BY question) AS part FROM m),
+s AS (SELECT sid, sum(part) AS weight, sum(CASE WHEN rank = 1 THEN marks ELSE 0 END)::BIGINT AS marks, count(*) FILTER (rank = 1) AS questions FROM w GROUP BY sid),
+b AS (SELECT sid, round_even(weight, 4) AS weight, round_even(weight / sum(weight) OVER (), 4) AS share, marks, questions FROM s)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "content_ids": "SELECT doc_id, substr(sha256(text), 1, 16) AS content_id, length(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'))::BIGINT AS squashed, length(text)::BIGINT AS chars FROM documents",
+        "search_bm25": f"WITH {_BM25} SELECT item_id, doc_id, score, rank FROM bm WHERE rank <= 5",
+        "search_cosine": "WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round_even(round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10",
+        "search_fused": f"WITH {_BM25}, ds AS (SELECT doc_id, unnest({_STEMS}) AS stem FROM documents), qs AS (SELECT item_id, unnest({_STEMS}) AS stem FROM benchmark), sh AS (SELECT item_id, doc_id, count(*) AS score FROM qs JOIN ds USING (stem) GROUP BY ALL), sr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sh), u AS (SELECT item_id, doc_id, rank FROM bm WHERE rank <= 20 UNION ALL SELECT item_id, doc_id, rank FROM sr WHERE rank <= 20), f AS (SELECT item_id, doc_id, round_even(sum(1.0::DOUBLE / (rank + 60)), 9) AS score FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT * FROM r WHERE rank <= 5",
+        "hit_rates": f"WITH {_BM25}, g AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), f AS (SELECT g.item_id, min(bm.rank) AS r FROM g LEFT JOIN bm ON bm.item_id = g.item_id AND bm.doc_id = g.doc_id AND bm.rank <= 10 GROUP BY 1) SELECT count(*) AS queries, round_even(avg(CASE WHEN r <= 1 THEN 1.0::DOUBLE ELSE 0 END), 4) AS hit_at_1, round_even(avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE ELSE 0 END), 4) AS hit_at_5, round_even(avg(CASE WHEN r <= 10 THEN 1.0::DOUBLE / r ELSE 0 END), 4) AS mrr_at_10 FROM f",
+        "sentence_counts": r"SELECT doc_id, len(string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9(])', '\1' || chr(1) || '\2', 'g'), chr(1)))::BIGINT AS sentences FROM documents",
+        "source_support": f"WITH ds AS (SELECT doc_id, unnest({_STEMS}) AS stem FROM documents), q AS (SELECT item_id, {_STEMS} AS s FROM benchmark), qs AS (SELECT item_id, len(s) AS n, unnest(s) AS stem FROM q WHERE len(s) >= 3), h AS (SELECT item_id, doc_id, count(*)::DOUBLE / any_value(n) AS r FROM qs JOIN ds USING (stem) GROUP BY ALL) SELECT item_id, count(*) AS documents, round_even(max(r), 4) AS best FROM h WHERE r >= 0.5 GROUP BY item_id",
+        "copied_items": f"WITH q AS (SELECT item_id, {_STEMS} AS s FROM benchmark), k AS (SELECT a.item_id, max(CASE WHEN len(a.s) = 0 OR len(b.s) = 0 THEN 0 ELSE len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) END) AS nearest FROM q a JOIN q b ON a.item_id <> b.item_id GROUP BY a.item_id) SELECT item_id, round_even(coalesce(nearest, 0), 4) AS nearest, coalesce(nearest, 0) >= 0.7 AS copy FROM q LEFT JOIN k USING (item_id)",
+        "latest_attempts": f"WITH {_ATT} SELECT question, section, id, awarded FROM l",
+        "due_retries": f"WITH {_ATT} SELECT question, section, id, awarded FROM l WHERE awarded < most AND due_at <= TIMESTAMP '{NOW}'",
+        "section_mastery": f"WITH {_ATT} SELECT * FROM m",
+        "weak_topics": f"WITH {_ATT} SELECT section, score, 1.0::DOUBLE AS weight, round_even(1 - score, 4) AS priority FROM m WHERE round_even(1 - score, 4) > 0 ORDER BY priority DESC, section LIMIT 3",
+        "exam_blueprint": f"WITH {_BLUE} SELECT * FROM b",
+        "chapter_rollup": f"WITH {_BLUE} SELECT CASE WHEN regexp_matches(split_part(sid, '.', 1), '^[0-9]+$') THEN split_part(sid, '.', 1) ELSE sid END AS chapter, round_even(sum(share), 4) AS share FROM b GROUP BY 1",
+        "label_rates": "SELECT coalesce(lang, 'all') AS lang, count(*) AS n, round_even(avg(quality), 4) AS quality, round_even(avg(toxic), 4) AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((lang), ())",
+        "chat_window": "SELECT * FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 12",
+        "item_error_rates": "WITH s AS (SELECT item_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')[1:80] AS x FROM benchmark) SELECT a.item_id, round_even(least(1.0, levenshtein(a.x, b.x)::DOUBLE / greatest(length(b.x), 1)), 6) AS cer FROM s a JOIN s b ON b.item_id = a.item_id + 1",
+    }
+
+
+def queries():
+    names = (content_ids, search_bm25, search_cosine, search_fused, hit_rates, chunk_stats, sentence_counts, source_support, copied_items, latest_attempts, due_retries, section_mastery, weak_topics, exam_blueprint, chapter_rollup, label_rates, chat_window, item_error_rates)
+    return {f.__name__: f for f in names}

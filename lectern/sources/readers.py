@@ -1,0 +1,111 @@
+"""Readers: raw files by their magic bytes, text, Word and slide documents; writers by key."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+from collections.abc import Iterator
+from functools import reduce
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import content_id
+
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+
+
+def sniff(content: Column) -> Column:
+    """pdf, png, jpeg, webp, zip or text by the first bytes; null for anything else."""
+    head = F.hex(F.substring(content, 1, 12))
+    return (
+        F.when(head.startswith("25504446"), "pdf")
+        .when(head.startswith("89504E470D0A1A0A"), "png")
+        .when(head.startswith("FFD8FF"), "jpeg")
+        .when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "webp")
+        .when(head.startswith("504B0304"), "zip")
+        .when(~F.contains(F.substring(content, 1, 4096).cast("string"), F.lit("\0")) & _utf8(content), "text")
+    )
+
+
+def _utf8(content: Column) -> Column:
+    """Whether the first 4096 bytes are UTF-8; a character cut at their end is fine."""
+    return reduce(lambda a, n: a | F.is_valid_utf8(F.substring(content, 1, n).cast("string")), (4095, 4094, 4093), F.is_valid_utf8(F.substring(content, 1, 4096).cast("string")))
+
+
+def _docx(z: zipfile.ZipFile) -> list[tuple]:
+    out = []
+    for p in ElementTree.fromstring(z.read("word/document.xml")).iter(f"{_W}p"):
+        text = "".join(t.text or "" for t in p.iter(f"{_W}t")).strip()
+        style = p.find(f"{_W}pPr/{_W}pStyle")
+        name = (style.get(f"{_W}val") or "").lower() if style is not None else ""
+        level = 1 if name == "title" else int(name[7:]) if name.startswith("heading") and name[7:].isdigit() else None
+        if text:
+            out.append((None, "heading" if level else "paragraph", level, text))
+    return out
+
+
+def _pptx(z: zipfile.ZipFile) -> list[tuple]:
+    out = []
+    slides = sorted((n for n in z.namelist() if n.startswith("ppt/slides/slide") and n.endswith(".xml")), key=lambda n: int("".join(c for c in n if c.isdigit()) or 0))
+    for page, name in enumerate(slides, 1):
+        paragraphs = ["".join(t.text or "" for t in p.iter(f"{_A}t")).strip() for p in ElementTree.fromstring(z.read(name)).iter(f"{_A}p")]
+        paragraphs = [p for p in paragraphs if p]
+        out.append((page, "heading", 1, paragraphs[0] if paragraphs else f"Slide {page}"))
+        out += [(page, "paragraph", None, p) for p in paragraphs[1:]]
+    return out
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(id, path, kind, content) of files of known kinds, one for each content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = files.select(content_id(F.col("content")).alias("id"), "path", sniff(F.col("content")).alias("kind"), "content").where("kind is not null")
+    return files.dropDuplicates(["id"])
+
+
+def office_blocks(files: DataFrame) -> DataFrame:
+    """(id, ord, page, kind, level, text) of Word and slide documents among ``files``; a broken file gives no rows."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for i, content in zip(f["id"], f["content"], strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        names = z.namelist()
+                        got = _docx(z) if "word/document.xml" in names else _pptx(z) if any(n.startswith("ppt/slides/") for n in names) else []
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError):
+                    got = []
+                rows += [(i, k, *x) for k, x in enumerate(got)]
+            yield pd.DataFrame(rows, columns=["id", "ord", "page", "kind", "level", "text"]).astype({"page": "Int32", "level": "Int32", "ord": "int32"})
+
+    return files.where("kind = 'zip'").select("id", "content").mapInPandas(read, "id string, ord int, page int, kind string, level int, text string")
+
+
+def text_documents(files: DataFrame) -> DataFrame:
+    return files.where("kind = 'text'").select("id", "path", F.decode("content", "utf-8").alias("text"))
+
+
+def upsert(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
+    """Rows of ``new`` replace those of ``old`` with the same key."""
+    return old.join(new.select(*key).distinct(), list(key), "left_anti").unionByName(new)
+
+
+def stable_id(name: Column) -> Column:
+    """A 31-bit id from a name."""
+    return (F.conv(F.substring(F.sha2(name, 256), 1, 12), 16, 10).cast("long") % 2147483648).alias("stable_id")
+
+
+def notes_to_markdown(notes: DataFrame) -> DataFrame:
+    """(doc_id, markdown): a document's notes in order, rules between them."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "markdown"))), lambda x: x["markdown"]), "\n\n---\n\n")
+    return notes.groupBy("doc_id").agg(F.concat(text, F.lit("\n")).alias("markdown"))
+
+
+def last_turns(conversations: DataFrame, n: int = 12) -> DataFrame:
+    """The last ``n`` messages of each conversation."""
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    return conversations.withColumn("back", F.row_number().over(w)).where(F.col("back") <= n)
