@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as t
 from .operators import blueprint as bp
-from .operators import metrics, practice, retrieve, segment, verify
+from .operators import diagrams, export, metrics, practice, retrieve, schedule, segment, verify
 from .sources import readers
 
 NOW = "2024-01-29 00:00:00"
@@ -145,6 +145,26 @@ def item_error_rates(spark, d):
     return x.join(y, "item_id").select("item_id", F.bround(t.error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
 
 
+def retry_schedule(spark, d):
+    """Memory state and next due time of each user's questions, by event type."""
+    a = _attempts(spark, d).withColumn("answered_at", F.col("due_at") - F.expr("INTERVAL 1 DAY"))
+    grade = practice.rating(F.col("awarded"), F.col("most"))
+    a = a.withColumn("grade", F.when(grade == "good", 3).when(grade == "hard", 2).otherwise(1))
+    return schedule.schedule(a, "question", "section").select("question", "section", "reviews", F.bround("stability", 3).alias("stability"), F.bround("difficulty", 3).alias("difficulty"))
+
+
+def nation_mindmap(spark, d):
+    """A map of each region with its nations as branches."""
+    r, n = _read(spark, d, "region", "nation")
+    b = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct(F.col("n_name").alias("label"), F.array().cast("array<string>").alias("children")))).alias("b"))
+    return r.join(b, F.col("r_regionkey") == F.col("n_regionkey")).select("r_regionkey", diagrams.mindmap(F.col("r_name"), F.col("b")).alias("diagram"))
+
+
+def deck_ids(spark, d):
+    (n,) = _read(spark, d, "nation")
+    return n.select("n_nationkey", export.stable_id(F.col("n_name")).alias("deck_id"), export.safe_name(F.concat(F.lit("Ch. "), "n_name")).alias("file"))
+
+
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 _STOP = ", ".join(f"'{w}'" for w in t.STOPWORDS)
 _CLEAN = r"regexp_replace(regexp_replace(text, '(?s)\$\$.*?\$\$|\$[^$]*\$|\\\(.*?\\\)|\\\[.*?\\\]', ' ', 'g'), '(?i)\(\s*\d+\s*marks?[^)]*\)', ' ', 'g')"
@@ -166,7 +186,22 @@ b AS (SELECT sid, round_even(weight, 4) AS weight, round_even(weight / sum(weigh
 
 
 def oracle_sql() -> dict[str, str]:
+    w = schedule.W
+    factor = f"({schedule.FACTOR!r})"
+    easy = f"({w[4]} - exp({w[5]} * 3) + 1)"
+    soon = f"exp({w[17]} * (g - 3 + {w[18]})) * pow(s, -{w[19]})"
+    r = f"pow(1 + {factor} * days / s, -{w[20]})"
+    kept = f"s * (1 + exp({w[8]}) * (11 - d) * pow(s, -{w[9]}) * (exp((1 - {r}) * {w[10]}) - 1) * CASE WHEN g = 2 THEN {w[15]}::DOUBLE ELSE 1 END)"
+    lost = f"least({w[11]} * pow(d, -{w[12]}) * (pow(s + 1, {w[13]}) - 1) * exp((1 - {r}) * {w[14]}), s / exp({w[17]} * {w[18]}))"
+    fsrs = f"""WITH RECURSIVE {_ATT}, v AS (SELECT question, section, due_at AS tm, (CASE WHEN awarded >= most THEN 3 WHEN awarded * 2 >= most THEN 2 ELSE 1 END)::DOUBLE AS g, row_number() OVER (PARTITION BY question, section ORDER BY due_at, id) AS k FROM a),
+    f AS (SELECT question, section, k, tm, (CASE g WHEN 1 THEN {w[0]} WHEN 2 THEN {w[1]} ELSE {w[2]} END)::DOUBLE AS s, greatest(1.0::DOUBLE, least(10.0::DOUBLE, {w[4]} - exp({w[5]} * (g - 1)) + 1)) AS d FROM v WHERE k = 1
+    UNION ALL SELECT question, section, k, tm, greatest(0.001::DOUBLE, CASE WHEN days < 1 THEN s * (CASE WHEN g >= 3 THEN greatest({soon}, 1.0::DOUBLE) ELSE {soon} END) WHEN g = 1 THEN {lost} ELSE {kept} END),
+    greatest(1.0::DOUBLE, least(10.0::DOUBLE, {w[7]} * {easy} + (1 - {w[7]}) * (d - {w[6]} * (g - 3) * (10 - d) / 9))) FROM (SELECT v.question, v.section, v.k, v.tm, v.g, f.s, f.d, greatest(0, floor((epoch(v.tm) - epoch(f.tm)) / 86400)) AS days FROM f JOIN v ON v.question = f.question AND v.section = f.section AND v.k = f.k + 1))
+    SELECT question, section, k AS reviews, round_even(round_even(s, 4), 3) AS stability, round_even(round_even(d, 4), 3) AS difficulty FROM f QUALIFY row_number() OVER (PARTITION BY question, section ORDER BY k DESC) = 1"""
     return {
+        "retry_schedule": fsrs,
+        "nation_mindmap": """SELECT r_regionkey, 'mindmap' || chr(10) || '  n0["' || any_value(r_name) || '"]' || string_agg(chr(10) || '    n' || i || '["' || n_name || '"]', '' ORDER BY i) AS diagram FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS i FROM nation) JOIN region ON r_regionkey = n_regionkey GROUP BY r_regionkey""",
+        "deck_ids": "SELECT n_nationkey, ('0x' || substr(sha256(n_name), 1, 12))::BIGINT % 2147483648 AS deck_id, regexp_replace(regexp_replace('Ch. ' || n_name, '[^a-zA-Z0-9]', '-', 'g'), '^-+|-+$', '', 'g') AS file FROM nation",
         "content_ids": "SELECT doc_id, substr(sha256(text), 1, 16) AS content_id, length(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'))::BIGINT AS squashed, length(text)::BIGINT AS chars FROM documents",
         "search_bm25": f"WITH {_BM25} SELECT item_id, doc_id, score, rank FROM bm WHERE rank <= 5",
         "search_cosine": "WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round_even(round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10",
@@ -188,5 +223,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def queries():
-    names = (content_ids, search_bm25, search_cosine, search_fused, hit_rates, chunk_stats, sentence_counts, source_support, copied_items, latest_attempts, due_retries, section_mastery, weak_topics, exam_blueprint, chapter_rollup, label_rates, chat_window, item_error_rates)
+    names = (content_ids, search_bm25, search_cosine, search_fused, hit_rates, chunk_stats, sentence_counts, source_support, copied_items, latest_attempts, due_retries, section_mastery, weak_topics, exam_blueprint, chapter_rollup, label_rates, chat_window, item_error_rates, retry_schedule, nation_mindmap, deck_ids)
     return {f.__name__: f for f in names}

@@ -70,7 +70,7 @@ def schedule(attempts: DataFrame, *key: str) -> DataFrame:
     its rows are three numbers each. Attempts without a time or grade don't count.
     """
     a = attempts.where("answered_at is not null and grade between 1 and 4")
-    s = a.groupBy(*key).agg(F.collect_list(F.struct(F.col("answered_at").alias("at"), "id", F.col("grade").cast("int").alias("grade"))).alias("x"))
+    s = a.groupBy(*key).agg(F.collect_list(F.struct(F.col("answered_at").cast("timestamp").alias("at"), "id", F.col("grade").cast("int").alias("grade"))).alias("x"))
     s = s.select(*key, F.size("x").cast("long").alias("reviews"), memory(F.col("x")).alias("m"))
     due = F.col("m.last") + F.make_dt_interval(interval_days(F.col("m.stability")))
     return s.select(*key, "reviews", F.bround("m.stability", 4).alias("stability"), F.bround("m.difficulty", 4).alias("difficulty"), due.alias("due_at"))
