@@ -2,8 +2,9 @@
 
 A text becomes its words, lower-cased and joined by one space; everything works on
 that line. A keyword prefilter (``contains``) passes only the texts that hold any of
-a few keywords to the rules, and each rule has a keyword of its own which is tried
-before its regex. A rule's places are word intervals. They are put in the order
+a few keywords to the rules, and each rule has keywords of its own, one of which must
+be there before its regex is tried. Both filters are lossless: all that a rule matches
+holds one of its keywords and one of the few. A rule's places are word intervals. They are put in the order
 (start, longer first, priority) and folded once: an interval contained in one already
 kept is suppressed; of two that overlap otherwise the one of higher priority stays.
 The fold keeps the last interval and the set of labels, so a text with very many
@@ -30,48 +31,48 @@ from .common import ascii_lower
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Licenses: label, keyword, regexes of the name in words, regex of a version ("" for none).
+#: Licenses: label, keywords (one of them stands in all that the name matches), regexes of the name in words, regex of a version ("" for none).
 FAMILIES = (
-    ("gpl", "general public", r"gnu general public licen[cs]e|gnu gpl|gplv?[23]", r"v?[123](?: 0)?"),
-    ("lgpl", "lesser general", r"gnu (?:lesser|library) general public licen[cs]e|lgplv?[23]?", r"v?(?:2|2 1|3)(?: 0)?"),
-    ("agpl", "affero", r"(?:gnu )?affero general public licen[cs]e|agplv?[13]?", r"v?[13](?: 0)?"),
-    ("apache", "apache", r"apache (?:software )?licen[cs]e|apache licensed", r"v?(?:1 0|1 1|2 0|2)"),
-    ("mit", "mit", r"(?:the )?mit(?: x11)? licen[cs]e|expat licen[cs]e", r""),
-    ("bsd", "bsd", r"(?:[234] clause )?(?:new |modified |simplified |revised )?bsd licen[cs]e|bsd [0234] clause", r""),
-    ("isc", "isc", r"isc licen[cs]e", r""),
-    ("mpl", "mozilla", r"mozilla public licen[cs]e", r"v?[12](?: [01])?"),
-    ("epl", "eclipse", r"eclipse (?:public|distribution) licen[cs]e", r"v?[12](?: 0)?"),
-    ("cddl", "common development", r"common development and distribution licen[cs]e", r"v?1 [01]"),
-    ("cpl", "common public", r"common public licen[cs]e", r"v?1 0"),
-    ("eupl", "european union", r"european union public licen[cs]e", r"v?1 [012]"),
-    ("artistic", "artistic", r"artistic licen[cs]e", r"v?[12](?: 0)?"),
-    ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e", r""),
-    ("boost", "boost", r"boost software licen[cs]e", r"v?1 0"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense", r""),
-    ("wtfpl", "wtfpl", r"wtfpl", r"v?2"),
-    ("python", "python", r"python (?:software foundation )?licen[cs]e", r"v?2(?: 0)?"),
-    ("ruby", "ruby", r"ruby licen[cs]e", r""),
-    ("perl", "perl", r"same terms as perl itself|perl licen[cs]e", r"v?5"),
-    ("php", "php", r"php licen[cs]e", r"v?3(?: 01?)?"),
-    ("postgresql", "postgresql", r"postgresql licen[cs]e", r""),
-    ("ofl", "open font", r"(?:sil )?open font licen[cs]e", r"v?1 [01]"),
-    ("odbl", "open database", r"open database licen[cs]e", r"v?1 0"),
-    ("ogl", "open government", r"open government licen[cs]e", r"v?[123](?: 0)?"),
-    ("gfdl", "free documentation", r"gnu free documentation licen[cs]e", r"v?1 [123]"),
-    ("cc0", "cc0", r"cc0|cc zero", r"v?1 0"),
-    ("cc-by", "cc by", r"cc by", r"[1234] [05]"),
-    ("cc-by-sa", "cc by", r"cc by sa", r"[1234] [05]"),
-    ("cc-by-nc", "cc by", r"cc by nc", r"[1234] [05]"),
-    ("cc-by-nd", "cc by", r"cc by nd", r"[1234] [05]"),
-    ("cc-by-nc-sa", "cc by", r"cc by nc sa", r"[1234] [05]"),
-    ("cc-by-nc-nd", "cc by", r"cc by nc nd", r"[1234] [05]"),
-    ("creative-commons", "creative commons", r"creative commons(?: attribution)?(?: non ?commercial)?(?: share ?alike| no ?deriv(?:ative)?s)?(?: licen[cs]e)?", r"[1234] [05]"),
-    ("ms-pl", "microsoft", r"microsoft (?:public|reciprocal) licen[cs]e", r""),
-    ("bsl", "business source", r"business source licen[cs]e", r"v?1 [01]"),
-    ("sspl", "server side", r"server side public licen[cs]e", r"v?1"),
-    ("public-domain", "public domain", r"(?:in|into|to) the public domain", r""),
-    ("proprietary", "reserved", r"all rights reserved", r""),
-    ("upl", "universal permissive", r"universal permissive licen[cs]e", r"v?1 0"),
+    ("gpl", ("general public", "gnu gpl", "gplv", "gpl2", "gpl3"), r"gnu general public licen[cs]e|gnu gpl|gplv?[23]", r"v?[123](?: 0)?"),
+    ("lgpl", ("lesser general", "library general", "lgpl"), r"gnu (?:lesser|library) general public licen[cs]e|lgplv?[23]?", r"v?(?:2|2 1|3)(?: 0)?"),
+    ("agpl", ("affero", "agpl"), r"(?:gnu )?affero general public licen[cs]e|agplv?[13]?", r"v?[13](?: 0)?"),
+    ("apache", ("apache",), r"apache (?:software )?licen[cs]e|apache licensed", r"v?(?:1 0|1 1|2 0|2)"),
+    ("mit", ("mit", "expat"), r"(?:the )?mit(?: x11)? licen[cs]e|expat licen[cs]e", r""),
+    ("bsd", ("bsd",), r"(?:[234] clause )?(?:new |modified |simplified |revised )?bsd licen[cs]e|bsd [0234] clause", r""),
+    ("isc", ("isc",), r"isc licen[cs]e", r""),
+    ("mpl", ("mozilla",), r"mozilla public licen[cs]e", r"v?[12](?: [01])?"),
+    ("epl", ("eclipse",), r"eclipse (?:public|distribution) licen[cs]e", r"v?[12](?: 0)?"),
+    ("cddl", ("common development",), r"common development and distribution licen[cs]e", r"v?1 [01]"),
+    ("cpl", ("common public",), r"common public licen[cs]e", r"v?1 0"),
+    ("eupl", ("european union",), r"european union public licen[cs]e", r"v?1 [012]"),
+    ("artistic", ("artistic",), r"artistic licen[cs]e", r"v?[12](?: 0)?"),
+    ("zlib", ("zlib",), r"zlib(?: libpng)? licen[cs]e", r""),
+    ("boost", ("boost",), r"boost software licen[cs]e", r"v?1 0"),
+    ("unlicense", ("unlicense",), r"(?:the )?unlicense", r""),
+    ("wtfpl", ("wtfpl",), r"wtfpl", r"v?2"),
+    ("python", ("python",), r"python (?:software foundation )?licen[cs]e", r"v?2(?: 0)?"),
+    ("ruby", ("ruby",), r"ruby licen[cs]e", r""),
+    ("perl", ("perl",), r"same terms as perl itself|perl licen[cs]e", r"v?5"),
+    ("php", ("php",), r"php licen[cs]e", r"v?3(?: 01?)?"),
+    ("postgresql", ("postgresql",), r"postgresql licen[cs]e", r""),
+    ("ofl", ("open font",), r"(?:sil )?open font licen[cs]e", r"v?1 [01]"),
+    ("odbl", ("open database",), r"open database licen[cs]e", r"v?1 0"),
+    ("ogl", ("open government",), r"open government licen[cs]e", r"v?[123](?: 0)?"),
+    ("gfdl", ("free documentation",), r"gnu free documentation licen[cs]e", r"v?1 [123]"),
+    ("cc0", ("cc0", "cc zero"), r"cc0|cc zero", r"v?1 0"),
+    ("cc-by", ("cc by",), r"cc by", r"[1234] [05]"),
+    ("cc-by-sa", ("cc by",), r"cc by sa", r"[1234] [05]"),
+    ("cc-by-nc", ("cc by",), r"cc by nc", r"[1234] [05]"),
+    ("cc-by-nd", ("cc by",), r"cc by nd", r"[1234] [05]"),
+    ("cc-by-nc-sa", ("cc by",), r"cc by nc sa", r"[1234] [05]"),
+    ("cc-by-nc-nd", ("cc by",), r"cc by nc nd", r"[1234] [05]"),
+    ("creative-commons", ("creative commons",), r"creative commons(?: attribution)?(?: non ?commercial)?(?: share ?alike| no ?deriv(?:ative)?s)?(?: licen[cs]e)?", r"[1234] [05]"),
+    ("ms-pl", ("microsoft",), r"microsoft (?:public|reciprocal) licen[cs]e", r""),
+    ("bsl", ("business source",), r"business source licen[cs]e", r"v?1 [01]"),
+    ("sspl", ("server side",), r"server side public licen[cs]e", r"v?1"),
+    ("public-domain", ("public domain",), r"(?:in|into|to) the public domain", r""),
+    ("proprietary", ("reserved",), r"all rights reserved", r""),
+    ("upl", ("universal permissive",), r"universal permissive licen[cs]e", r"v?1 0"),
 )
 
 #: How a family's name is used: kind, regex around it, priority (lower is stronger), confidence.
@@ -86,15 +87,15 @@ FORMS = (
 )
 
 
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, regex over the padded line, priority, confidence), strongest first."""
+def rules() -> list[tuple[str, tuple[str, ...], str, int, float]]:
+    """(label, keywords, regex over the padded line, priority, confidence), strongest first."""
     out = []
-    for label, keyword, name, version in FAMILIES:
+    for label, keywords, name, version in FAMILIES:
         for kind, form, priority, confidence in FORMS:
             if "{version}" in form and kind != "grant" and not version:
                 continue
             body = form.format(name=f"(?:{name})", version=f"(?:{version})?" if kind == "grant" and version else f"(?:{version})" if version else "")
-            out.append((label, keyword, f" {body.rstrip()}(?= )".replace(" ?(?=", "(?="), priority, confidence))
+            out.append((label, keywords, f" {body.rstrip()}(?= )".replace(" ?(?=", "(?="), priority, confidence))
     return sorted(out, key=lambda r: r[3])
 
 
@@ -110,13 +111,14 @@ def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" ")))
 
 
-def scan_licenses(docs: DataFrame, *keep: str) -> DataFrame:
+def scan_licenses(docs: DataFrame, *keep: str, prefilter: bool = True) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels, score, detections to the columns ``keep`` of ``docs``.
 
     ``detections`` holds the places of rules that were kept: label, first word and the word after the last.
+    ``prefilter`` changes the speed only.
     """
     line = docs.select(*keep, padded_line(F.col("text")).alias("line"))
-    line = line.select(*keep, "line", (_spaces(F.col("line")) - 1).cast("long").alias("n_words"), reduce(lambda a, b: a | b, [F.col("line").contains(k) for k in KEYWORDS]).alias("gate"))
+    line = line.select(*keep, "line", (_spaces(F.col("line")) - 1).cast("long").alias("n_words"), reduce(lambda a, b: a | b, [F.col("line").contains(k) for k in KEYWORDS] if prefilter else [F.lit(True)]).alias("gate"))
     # base phrases: what stands between their places tells where they are
     for i, (phrase, _) in enumerate(BASE):
         here = F.col("line").contains(f" {phrase} ")
@@ -138,10 +140,10 @@ def scan_licenses(docs: DataFrame, *keep: str) -> DataFrame:
         F.greatest(*lasts).cast("long").alias("last_word"),
         F.array_compact(F.array(*labels)).alias("base"),
     )
-    kind = "array<struct<label:string,keyword:string,regex:string,priority:int,confidence:double>>"
-    names = ("label", "keyword", "regex", "priority", "confidence")
+    kind = "array<struct<label:string,keywords:array<string>,regex:string,priority:int,confidence:double>>"
+    names = ("label", "keywords", "regex", "priority", "confidence")
     literal = F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in rules()])), kind)
-    gated = F.filter(literal, lambda r: F.contains(F.col("line"), r["keyword"]))
+    gated = F.filter(literal, lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col("line"), k))) if prefilter else literal
     places = F.flatten(F.transform(gated, _places))
     start = F.named_struct(F.lit("kept"), F.array().cast("array<struct<label:string,start:bigint,end:bigint,confidence:double>>"), F.lit("start"), F.lit(-1).cast("bigint"), F.lit("end"), F.lit(-1).cast("bigint"), F.lit("priority"), F.lit(0))
     folded = F.aggregate(F.sort_array(places), start, _suppress, lambda a: a["kept"])
