@@ -10,6 +10,10 @@ kept is suppressed; of two that overlap otherwise the one of higher priority sta
 The fold keeps the last interval and the set of labels, so a text with very many
 places costs time in proportion to them.
 
+The rules are of three kinds: sentences of the licenses' own texts and notices, SPDX
+identifiers (in SPDX lines and their expressions, after words of a grant, and alone
+where they say enough), and license names with the forms in which they are used.
+
 Base places (fixed phrases, all of them counted) are found apart from the rules, and
 suppression never removes their labels.
 
@@ -87,9 +91,108 @@ FORMS = (
 )
 
 
+#: SPDX identifiers in words, with their labels. Those that say enough by themselves (last value) count anywhere, the others after words of a grant.
+SPDX = (
+    ("gpl", r"gpl [123] 0(?: only| or later)?", True),
+    ("lgpl", r"lgpl (?:2 0|2 1|3 0)(?: only| or later)?", True),
+    ("agpl", r"agpl [13] 0(?: only| or later)?", True),
+    ("gfdl", r"gfdl 1 [123](?: invariants| no invariants)?(?: only| or later)?", True),
+    ("apache", r"apache (?:1 0|1 1|2 0)", True),
+    ("mit", r"mit(?: 0)?", False),
+    ("mit", r"x11", False),
+    ("bsd", r"0?bsd(?: [1234] clause)?", False),
+    ("bsd", r"bsd [1234] clause(?: patent| clear| lbnl)?", True),
+    ("isc", r"isc", False),
+    ("mpl", r"mpl (?:1 [01]|2 0)(?: no copyleft exception)?", True),
+    ("epl", r"epl [12] 0", False),
+    ("cddl", r"cddl 1 [01]", True),
+    ("cpl", r"cpl 1 0", False),
+    ("eupl", r"eupl 1 [012]", True),
+    ("artistic", r"artistic [12] 0(?: perl| cl8)?", True),
+    ("zlib", r"zlib", False),
+    ("boost", r"bsl 1 0", False),
+    ("bsl", r"busl 1 1", True),
+    ("unlicense", r"unlicense", False),
+    ("wtfpl", r"wtfpl", False),
+    ("python", r"(?:psf|python) 2 0(?: 1)?", False),
+    ("ruby", r"ruby", False),
+    ("php", r"php 3 01?", False),
+    ("postgresql", r"postgresql", False),
+    ("ofl", r"ofl 1 [01](?: rfn| no rfn)?", True),
+    ("odbl", r"odbl 1 0", True),
+    ("ogl", r"ogl uk [123] 0", True),
+    ("cc0", r"cc0 1 0", True),
+    ("cc-by", r"cc by [1234] [05]", True),
+    ("cc-by-sa", r"cc by sa [1234] [05]", True),
+    ("cc-by-nc", r"cc by nc [1234] [05]", True),
+    ("cc-by-nd", r"cc by nd [1234] [05]", True),
+    ("cc-by-nc-sa", r"cc by nc sa [1234] [05]", True),
+    ("cc-by-nc-nd", r"cc by nc nd [1234] [05]", True),
+    ("ms-pl", r"ms (?:pl|rl)", True),
+    ("sspl", r"sspl 1 0", True),
+    ("upl", r"upl 1 0", False),
+)
+
+#: Sentences of the licenses' own texts and notices: label, a keyword that stands in each, regex.
+BODIES = (
+    ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "above copyright notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("boost", "permission is hereby granted", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("isc", "permission to use", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("postgresql", "permission to use", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "endorse or promote", r"neither the names? of (?:[^ ]+ ){1,14}may be used to endorse or promote products derived from this software"),
+    ("bsd", "advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("zlib", "altered source versions", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", "held liable", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("apache", "apache license", r"licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache", "contributor", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("gpl", "free software", r"free software you can redistribute it and or modify it under the terms of (?:version [123] of )?the gnu general public license"),
+    ("gpl", "copyleft", r"the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl", "freedom to share", r"the licenses for most software are designed to take away your freedom to share and change it"),
+    ("lgpl", "free software", r"free software you can redistribute it and or modify it under the terms of (?:version [23](?: 1)? of )?the gnu (?:lesser|library) general public license"),
+    ("agpl", "free software", r"free software you can redistribute it and or modify it under the terms of (?:version 3 of )?the gnu affero general public license"),
+    ("agpl", "copyleft", r"the gnu affero general public license is a free copyleft license for software and other kinds of works"),
+    ("gfdl", "permission is granted", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl", "source code form", r"this source code form is subject to the terms of the mozilla public license"),
+    ("epl", "accompanying materials", r"this program and the accompanying materials are (?:made available|licensed) under the terms of the eclipse public license"),
+    ("cddl", "common development", r"the contents of this file are subject to the terms of (?:either )?(?:[^ ]+ ){0,12}the common development and distribution license"),
+    ("eupl", "eupl", r"licensed under the eupl"),
+    ("artistic", "conditions under which", r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("perl", "free software", r"free software you can redistribute it and or modify it under the same terms as the perl"),
+    ("python", "psf is making", r"psf is making python available to licensee on an as is basis"),
+    ("ruby", "copyrighted", r"ruby is (?:a )?(?:free )?copyrighted (?:free )?software"),
+    ("php", "may not be called php", r"products derived from this software may not be called php"),
+    ("unlicense", "unencumbered software", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "what the fuck", r"you just do what the fuck you want to"),
+    ("cc0", "neighboring rights", r"waived all copyright and related or neighboring rights"),
+    ("cc-by", "creative commons attribution", r"creative commons attribution (?:[1234] [05] )?(?:international |unported |generic )?(?:public )?licen[cs]e"),
+    ("cc-by-sa", "creative commons attribution", r"creative commons attribution share ?alike (?:[1234] [05] )?(?:international |unported |generic )?(?:public )?licen[cs]e"),
+    ("cc-by-nc", "creative commons attribution", r"creative commons attribution non ?commercial (?:[1234] [05] )?(?:international |unported |generic )?(?:public )?licen[cs]e"),
+    ("ofl", "font software", r"this font software is licensed under the sil open font license"),
+    ("ofl", "font software", r"the font software may be sold as part of a larger software package"),
+    ("ogl", "public sector information", r"contains public sector information licen[cs]ed under the open government licen[cs]e"),
+    ("ms-pl", "u s copyright law", r"the terms reproduce reproduction derivative works and distribution have the same meaning here as under u s copyright law"),
+    ("bsl", "production use", r"the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("sspl", "third parties as a service", r"make the functionality of the program or a modified version available to third parties as a service"),
+    ("public-domain", "public domain", r"(?:dedicated|placed|released|donated) (?:in|into|to) the public domain"),
+    ("proprietary", "unauthori", r"unauthori[sz]ed (?:copying|reproduction|use|distribution)(?: or distribution)? of (?:this|the) (?:file|software|program|document|material)(?: via any medium)? is strictly prohibited"),
+    ("proprietary", "proprietary and confidential", r"proprietary and confidential"),
+)
+
+
 def rules() -> list[tuple[str, tuple[str, ...], str, int, float]]:
     """(label, keywords, regex over the padded line, priority, confidence), strongest first."""
-    out = []
+    out = [(label, (keyword,), f" {body}(?= )", 0, 1.0) for label, keyword, body in BODIES]
+    # how SPDX identifiers end, in words
+    ends = "[0-9]|only|later|clause|patent|mit|x11|bsd|isc|zlib|unlicense|wtfpl|ruby|postgresql"
+    for label, name, plain in SPDX:
+        out.append((label, ("spdx licen",), f" spdx licen[cs]e identifier {name}(?= )", 1, 1.0))
+        # later members of an SPDX expression: the name is found first, then what stands before it is looked at
+        out.append((label, ("spdx licen",), f" {name}(?<= spdx licen[cs]e identifier [a-z0-9 ]{{0,80}}(?:{ends}) (?:or|and) {name})(?= )", 1, 1.0))
+        out.append((label, ("licen", " under "), f" (?:(?:licen[cs]ed|released|distributed|published|available) under (?:the )?|licen[cs]e (?:is )?){name}(?= )", 2, 0.9))
+        if plain:
+            out.append((label, (f" {name.partition(' ')[0]} ",), f" {name}(?= )", 3, 0.9))
     for label, keywords, name, version in FAMILIES:
         for kind, form, priority, confidence in FORMS:
             if "{version}" in form and kind != "grant" and not version:
@@ -99,7 +202,10 @@ def rules() -> list[tuple[str, tuple[str, ...], str, int, float]]:
     return sorted(out, key=lambda r: r[3])
 
 
-KEYWORDS = ("licen", "cc by", "cc0", "copyright", "public domain", "rights reserved", "gpl", "wtfpl", "creative commons", "cc zero", "bsd", "same terms as perl")
+#: What any rule matches holds one of these.
+KEYWORDS = ("licen", "cc by", "cc0", "copyright", "public domain", "rights reserved", "gpl", "wtfpl", "creative commons", "cc zero", "bsd", "same terms as perl", "same terms as the perl")
+KEYWORDS += ("permission is hereby granted", "permission to use", "redistribution and use", "endorse or promote", "advertising materials", "altered source versions", "held liable", "conditions under which", "may not be called php", "what the fuck", "font software", "third parties as a service", "unauthori", "proprietary and confidential")
+KEYWORDS += (" under ", " gfdl ", " apache ", " mpl ", " cddl ", " eupl ", " artistic ", " busl ", " ofl ", " odbl ", " ogl ", " ms ", " sspl ")
 
 
 def padded_line(text: Column) -> Column:

@@ -50,3 +50,32 @@ def test_prefilter_is_lossless(spark):
     assert with_ == without
     assert [with_[i].labels for i in range(len(short))] == [label for _, label in short]
     assert all(with_[i].labels and with_[i].score > 0 for i in with_)
+
+
+def test_bodies_and_spdx(spark):
+    want = [
+        ("SPDX-License-Identifier: MIT", "mit"),
+        ("SPDX-License-Identifier: Apache-2.0", "apache"),
+        ("// SPDX-License-Identifier: GPL-3.0-only", "gpl"),
+        ("SPDX-License-Identifier: MPL-2.0", "mpl"),
+        ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause", "apache,bsd,mit"),
+        ("under LGPL-2.1-or-later", "lgpl"),
+        ("License: ISC", "isc"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit"),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"),
+        ("You just DO WHAT THE FUCK YOU WANT TO.", "wtfpl"),
+        ("You can redistribute the file and use PHP 3.0, which took 10 ms", ""),
+    ]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in op10.scan_licenses(d, "doc_id").collect()}
+    assert [got[i] for i in range(len(want))] == [w for _, w in want]
+
+
+def test_keywords_cover_bodies_and_ids(spark):
+    """Each rule's own sentence passes both filters and finds its rule."""
+    texts = [(label, t) for label, _, body in op10.BODIES for t in said(body)] + [(label, f"spdx license identifier {t}") for label, name, _ in op10.SPDX for t in said(name)] + [(label, t) for label, name, plain in op10.SPDX if plain for t in said(name)]
+    d = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    with_, without = ({r.doc_id: r for r in op10.scan_licenses(d, "doc_id", prefilter=p).collect()} for p in (True, False))
+    assert with_ == without
+    assert [(x, texts[i][1], with_[i].labels) for i, (x, _) in enumerate(texts) if x not in with_[i].labels.split(",")] == []
