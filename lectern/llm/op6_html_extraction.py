@@ -11,9 +11,11 @@
    pages costs a few alignments a task.
 3. In the finished wrapper each slot has a path. Slots under menus, headers, footers,
    sidebars, forms, notices, adverts and comments are left out by the names of their
-   path; of the rest those in the article (or, if a host marks none, in the element
-   with the most text that varies and isn't linked) are main text.
-4. Every page is read by its host's wrapper: the texts at main slots, in page order.
+   path. The rest is main text in tiers: slots in the article; slots under names of
+   main text; slots that vary or stand on one page only and aren't linked; all others
+   that aren't linked.
+4. Every page is read by its host's wrapper: the texts at the slots of the first tier
+   where the page has any, in page order. So a host's pages may have many templates.
 
 Nothing is cut. Pages that are null or empty give an empty text. A url without a host
 (or null) forms one group of its own, salted like any other. Repeated rows are kept.
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +46,11 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BREAKS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 LEFT_OUT = {"nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "title"} | RAW
+# names of what is no main text: whole, or with a word for its place or for its box; never a part of other compounds (with-sidebar)
 NOT_MAIN = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|banner\w*|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|nav\w*|menu\w*|breadcrumb\w*|header|masthead|footer|sidebar|side|aside|widget\w*|related|recommend\w*|share|sharing|social|comment\w*|disqus|respond|replies|newsletter|subscribe|login|signup|search|pagination|pager|complementary|navigation|contentinfo)(?:$|[^a-z])"
+    r"(?:(?:site|page|main|global|top|bottom|primary|secondary|cookie|user|social|related|mobile|blog)[-_]?)?"
+    r"(?:ads?|advert(?:s|isements?|ising)?|banners?|promos?|promotions?|sponsors?|sponsored|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|nav|navbar|navigation|menus?|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widgets?|related|recommend(?:ed|ations?)|share|sharing|social|comments?|disqus|respond|replies|newsletter|subscribe|login|signup|search|pagination|pager|complementary|contentinfo)"
+    r"(?:[-_]?(?:bar|box|list|links?|area|wrap|wrapper|container|inner|menu|items?|buttons?|form|posts?|slot|unit))?"
 )
 MAIN_NAMES = re.compile(r"(?:^|[^a-z])(?:article\w*|main|content|post|entry|story|articlebody|body)(?:$|[^a-z])")
 LONG_ALIGNMENT = 4000
@@ -116,14 +122,15 @@ def parse(page: str | None) -> Iterator[tuple]:
 
 
 def stream(page: str | None) -> list:
-    """Tokens of a page: [kind, key, text, words, linked words]; siblings that repeat are folded."""
+    """Tokens of a page: [kind, key, text, words, linked words, page]; siblings that repeat are folded."""
     out: list = []
+    own = xxhash.xxh64_intdigest(page or "")
     for event in parse(page):
         if event[0] == "text":
             n = len(event[1].split())
-            out.append(["#", event[2], event[1], 0 if event[3] else n, n if event[3] else 0])
+            out.append(["#", event[2], event[1], 0 if event[3] else n, n if event[3] else 0, own])
         else:
-            out.append([event[0][0], event[1], "", 0, 0])
+            out.append([event[0][0], event[1], "", 0, 0, own])
             if event[0] == "close":
                 out = folded(out)
     return out
@@ -134,8 +141,8 @@ def same(a: list, b: list) -> bool:
 
 
 def together(a: list, b: list) -> list:
-    """One token for two: equal texts stay template text, others become a slot (None)."""
-    return [a[0], a[1], a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4], *a[5:]]
+    """One token for two: equal texts stay template text, others become a slot (None). So with pages: one, or None for several."""
+    return [a[0], a[1], a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4], a[5] if a[5] == b[5] else None, *a[6:]]
 
 
 def folded(tokens: list) -> list:
@@ -159,7 +166,7 @@ def folded(tokens: list) -> list:
 
 
 class Wrapper:
-    """A union-free expression: tokens [kind, path or key, text or None, words, linked words, optional]."""
+    """A union-free expression: tokens [kind, path or key, text or None, words, linked words, page or None, optional]."""
 
     def __init__(self, tokens: list | None = None, pages: int = 0):
         self.tokens, self.pages = tokens or [], pages
@@ -181,9 +188,9 @@ class Wrapper:
             blocks = SequenceMatcher(None, names_a, names_b, autojunk=max(len(a), len(b)) > LONG_ALIGNMENT).get_opcodes()
         for op, i, i2, j, j2 in blocks:
             if op == "equal":
-                out += [[*together(x, y)[:5], x[5] or y[5]] for x, y in zip(a[i:i2], b[j:j2], strict=True)]
+                out += [[*together(x, y)[:6], x[6] or y[6]] for x, y in zip(a[i:i2], b[j:j2], strict=True)]
             else:
-                out += [[*t[:5], True] for t in a[i:i2]] + [[*t[:5], True] for t in b[j:j2]]
+                out += [[*t[:6], True] for t in a[i:i2]] + [[*t[:6], True] for t in b[j:j2]]
         return Wrapper(repeats(out), self.pages + other.pages)
 
     def to_json(self) -> str:
@@ -194,30 +201,24 @@ class Wrapper:
         pages, tokens = json.loads(s)
         return cls(tokens, pages)
 
-    def main_paths(self) -> list[str]:
-        """Paths of the slots that hold the main text."""
+    def main_paths(self) -> list[list[str]]:
+        """Paths of the slots that hold main text, in tiers: a page is read at the first one where it has any.
+
+        Marked as article; named as main text; texts that vary or stand on one page only;
+        anything else. What is linked for the most part is left out of the last two.
+        """
         slots: dict[str, list] = {}
-        for kind, path, text, n, linked, _ in self.tokens:
+        for kind, path, text, n, linked, page, _ in self.tokens:
             if kind == "#":
                 s = slots.setdefault(path, [0, 0, False])
                 s[0] += n
                 s[1] += linked
-                s[2] |= text is None
+                s[2] |= text is None or page is not None
         kept = {p: s for p, s in slots.items() if not any(_left_out(k) for k in p.split("/")[1:])}
-        for inside in (lambda k: re.split(r"\.", k)[0] in ("article", "main"), lambda k: bool(MAIN_NAMES.search(k.partition(".")[2]))):
-            if found := sorted(p for p in kept if any(inside(k) for k in p.split("/"))):
-                return found
-        # no marked article: the element with the most unlinked text, which varies if there is more than a page
-        if self.pages > 1 and any(s[2] for s in kept.values()):
-            kept = {p: s for p, s in kept.items() if s[2]}
-        kept = {p: s for p, s in kept.items() if s[0] > s[1]}
-        if not kept:
-            return []
-        weight: dict[str, int] = {}
-        for p, s in kept.items():
-            weight[p.rpartition("/")[0]] = weight.get(p.rpartition("/")[0], 0) + s[0]
-        best = max(sorted(weight), key=weight.get)
-        return sorted(p for p in kept if p.startswith(best))
+        inside = (lambda k: k.partition(".")[0] in ("article", "main"), lambda k: bool(MAIN_NAMES.search(k.partition(".")[2])))
+        tiers = [[p for p in kept if any(f(k) for k in p.split("/"))] for f in inside]
+        unlinked = [p for p, s in kept.items() if s[0] > s[1]]
+        return [sorted(t) for t in (*tiers, [p for p in unlinked if kept[p][2]], unlinked)]
 
 
 def repeats(tokens: list) -> list:
@@ -225,14 +226,15 @@ def repeats(tokens: list) -> list:
     out: list = []
     for t in tokens:
         out.append(t)
-        if t[0] == "c" and t[5]:
+        if t[0] == "c" and t[6]:
             out = folded(out)
     return out
 
 
 def _left_out(key: str) -> bool:
     name, _, given = key.partition(".")
-    return name in LEFT_OUT or bool(given and NOT_MAIN.search(given))
+    # names of the page's own frame (html, body, main, article) tell of its layout
+    return name in LEFT_OUT or (name not in ("html", "body", "main", "article") and any(NOT_MAIN.fullmatch(x.strip("-_")) for x in given.split(".")))
 
 
 def host(url: Column) -> Column:
@@ -274,9 +276,9 @@ def extract(pages: DataFrame, *keep: str) -> DataFrame:
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [Wrapper.from_json(x).main_paths() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], ["host", "main"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.list_(pa.string())))], ["host", "main"])
 
-    table = staged(wrappers(pages).select("host", "wrapper").mapInArrow(paths, "host string, main array<string>"))
+    table = staged(wrappers(pages).select("host", "wrapper").mapInArrow(paths, "host string, main array<array<string>>"))
     rows = pages.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], host(F.col("url")).alias("host"), F.col("html").alias("h"), F.xxhash64("html").alias("salt"))
     rows = attach(rows, table, "host", "salt").select(*[f"k{i}" for i in range(len(keep))], "h", "main")
     n = len(keep)
@@ -285,8 +287,9 @@ def extract(pages: DataFrame, *keep: str) -> DataFrame:
         for b in batches:
             texts = []
             for page, main in zip(b.column(n), b.column(n + 1), strict=True):
-                at = set(main.as_py() or ())
-                texts.append(" ".join(e[1] for e in parse(page.as_py()) if e[0] == "text" and e[2] in at))
+                said = [e for e in parse(page.as_py()) if e[0] == "text"]
+                found = ([e[1] for e in said if e[2] in at] for at in map(set, main.as_py() or ()))
+                texts.append(" ".join(next(filter(None, found), ())))
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(texts, pa.string())], [*b.schema.names[:n], "text"])
 
     schema = rows.drop("h", "main").schema.add("text", "string")
