@@ -145,6 +145,14 @@ def item_error_rates(spark, d):
     return x.join(y, "item_id").select("item_id", F.bround(t.error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
 
 
+def item_text_error_rates(spark, d):
+    """Character error of each item's whole text against the next item's, one space kept for what is no letter or digit."""
+    (b,) = _read(spark, d, "benchmark")
+    x = b.select("item_id", t.spaced(F.col("text")).alias("a"))
+    y = x.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b"))
+    return x.join(y, "item_id").select("item_id", F.bround(t.error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
+
+
 def retry_schedule(spark, d):
     """Memory state and next due time of each user's questions, by event type."""
     a = _attempts(spark, d).withColumn("answered_at", F.col("due_at") - F.expr("INTERVAL 1 DAY"))
@@ -223,5 +231,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def queries():
-    names = (content_ids, search_bm25, search_cosine, search_fused, hit_rates, chunk_stats, sentence_counts, source_support, copied_items, latest_attempts, due_retries, section_mastery, weak_topics, exam_blueprint, chapter_rollup, label_rates, chat_window, item_error_rates, retry_schedule, nation_mindmap, deck_ids)
+    names = (content_ids, search_bm25, search_cosine, search_fused, hit_rates, chunk_stats, sentence_counts, source_support, copied_items, latest_attempts, due_retries, section_mastery, weak_topics, exam_blueprint, chapter_rollup, label_rates, chat_window, item_error_rates, item_text_error_rates, retry_schedule, nation_mindmap, deck_ids)
     return {f.__name__: f for f in names}

@@ -16,6 +16,11 @@ def squash(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
 
+def spaced(c: Column) -> Column:
+    """Lower case; squares and cubes as digits; one space for each run of anything but a-z and 0-9, none at the ends."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(c), "²³", "23"), "[^a-z0-9]+", " "))
+
+
 def strip_space(c: Column) -> Column:
     """Trim any Unicode white space."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
