@@ -15,17 +15,20 @@ vectors, never to pairs.
 
 Equal vectors are one class from the start: they link with each other without being
 compared, and their class goes through the tables once, with its number of members.
-Vectors that are null, zero or hold null or non-finite components, or have another
-length than most, link with nothing. A null vec_id cannot be named by others: such a
+Vectors of each length are hashed and compared among themselves; the length is part
+of the bucket. Vectors that are null, empty, zero or hold null or non-finite
+components link with nothing. A null vec_id cannot be named by others: such a
 row is its own component (null) and is kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,7 @@ TABLES, BITS, STEP, SEED = 18, 6, 1.0, 29
 BLOCK = 1024
 
 
+@lru_cache(maxsize=64)
 def planes(dim: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([seed, dim])
     return rng.standard_normal((dim, TABLES * BITS)), rng.uniform(0, STEP, TABLES * BITS)
@@ -80,44 +84,44 @@ def compare(ids: np.ndarray, times: np.ndarray, x: np.ndarray, keys: np.ndarray,
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding)."""
-    # fixed length: that of most vectors; ties go to the longer
-    usual = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    dim = usual.d if usual else 0
-    sound = F.col("embedding").isNotNull() & (F.size("embedding") == dim) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("embedding", lambda v: v != 0)
+    sound = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("embedding", lambda v: v != 0)
     rows = vectors.select("vec_id", F.when(sound, F.col("embedding").cast("array<double>")).alias("v"))
     good = rows.where("v is not null and vec_id is not null")
     classes = staged(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")))
-    if not dim:
+    if classes.isEmpty():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(0).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
-            x = x / np.abs(x).max(1, keepdims=True)
-            x = x / np.sqrt((x * x).sum(1, keepdims=True))
-            keys = buckets(x)
-            blob = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), blob(x), blob(keys), pa.array(list(keys.astype(np.int64)), pa.list_(pa.int64()))], ["rep", "times", "x", "keys", "buckets"])
-
-    table = staged(classes.mapInArrow(hashed, "rep long, times long, x binary, keys binary, buckets array<long>"))
-    spread = table.select("rep", F.posexplode("buckets").alias("t", "bucket"))
-    sizes = spread.groupBy("t", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+            length = pc.list_value_length(batch.column(0)).to_numpy()
+            for dim in np.unique(length):
+                part = batch.filter(pa.array(length == dim))
+                x = np.array(part.column(0).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+                x = x / np.abs(x).max(1, keepdims=True)
+                x = x / np.sqrt((x * x).sum(1, keepdims=True))
+                keys = buckets(x)
+                blob = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(np.full(len(x), dim, np.int32)), blob(x), blob(keys), pa.array(list(keys.astype(np.int64)), pa.list_(pa.int64()))], ["rep", "times", "dim", "x", "keys", "buckets"])
+
+    table = staged(classes.mapInArrow(hashed, "rep long, times long, dim int, x binary, keys binary, buckets array<long>"))
+    spread = table.select("rep", "dim", F.posexplode("buckets").alias("t", "bucket"))
+    sizes = spread.groupBy("dim", "t", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     # a bucket's blocks: each vector is in one, and goes to every pair of blocks that holds it
-    member = spread.join(sizes, ["t", "bucket"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep", "t"), F.col("blocks")).cast("int"))
+    member = spread.join(sizes, ["dim", "t", "bucket"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep", "t"), F.col("blocks")).cast("int"))
     meet = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meet = meet.select("rep", "t", "bucket", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    meet = meet.select("rep", "dim", "t", "bucket", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     meet = meet.join(table.select("rep", "times", "x", "keys"), "rep")
     # small buckets share a task's group, so there are not as many groups as buckets
-    group = F.when(F.col("j") > 0, F.xxhash64("t", "bucket", "i", "j")).otherwise(F.pmod(F.xxhash64("t", "bucket"), F.lit(4096)))
+    group = F.when(F.col("j") > 0, F.xxhash64("dim", "t", "bucket", "i", "j")).otherwise(F.pmod(F.xxhash64("dim", "t", "bucket"), F.lit(4096)))
 
     def links(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        order = np.lexsort([t["j"].to_numpy(), t["i"].to_numpy(), t["bucket"].to_numpy(), t["t"].to_numpy()])
+        order = np.lexsort([t["j"].to_numpy(), t["i"].to_numpy(), t["bucket"].to_numpy(), t["t"].to_numpy(), t["dim"].to_numpy()])
         t = t.take(pa.array(order))
-        x, keys = _unit(t["x"].to_pylist(), dim), np.frombuffer(b"".join(t["keys"].to_pylist()), np.uint64).reshape(-1, TABLES)
-        cols = {c: t[c].to_numpy() for c in ("rep", "times", "t", "bucket", "mine", "i", "j")}
+        x, keys = t["x"].to_pylist(), np.frombuffer(b"".join(t["keys"].to_pylist()), np.uint64).reshape(-1, TABLES)
+        cols = {c: t[c].to_numpy() for c in ("rep", "times", "dim", "t", "bucket", "mine", "i", "j")}
         change = np.ones(len(t), bool)
-        change[1:] = np.any([cols[c][1:] != cols[c][:-1] for c in ("t", "bucket", "i", "j")], axis=0)
+        change[1:] = np.any([cols[c][1:] != cols[c][:-1] for c in ("dim", "t", "bucket", "i", "j")], axis=0)
         starts = np.append(np.nonzero(change)[0], len(t))
         out = ([], [], [])
         for a, b in zip(starts[:-1], starts[1:], strict=True):
@@ -127,9 +131,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
             left, right = (everyone, everyone) if i == j else (everyone[mine == i], everyone[mine == j])
             if not len(left) or not len(right):
                 continue
-            n, label = compare(ids, cols["times"][a:b], x[a:b], keys[a:b], table_no, left, right, least)
+            near = _unit(x[a:b], int(cols["dim"][a]))
+            n, label = compare(ids, cols["times"][a:b], near, keys[a:b], table_no, left, right, least)
             if i != j:
-                n += compare(ids, cols["times"][a:b], x[a:b], keys[a:b], table_no, right, left, least)[0]
+                n += compare(ids, cols["times"][a:b], near, keys[a:b], table_no, right, left, least)[0]
             hit = n > 0
             out[0].append(ids[hit])
             out[1].append(n[hit])
