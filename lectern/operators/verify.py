@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_stems, jaccard, sentences, support
+from ..functions.text import content_stems, jaccard, sentences, strip_space, support
 
 LEAST_SUPPORT, QUESTION_SUPPORT, COPY = 0.5, 0.6, 0.7
 
@@ -56,8 +56,9 @@ def nearest_copy(questions: DataFrame, existing: DataFrame, key: str, other: str
 
 
 def flashcards(notes: DataFrame) -> DataFrame:
-    """(id, front, back) from lines like '**term**: definition'; the first of each term counts."""
-    lines = notes.select("id", F.posexplode(F.split("markdown", "\n")).alias("i", "line"))
-    at = r"^\s*(?:[-*+]\s+)?\*\*([^*]+)\*\*(?:\s*\([^)]*\))?\s*[:—–-]\s*(?!\*\*)(.{8,300})$"
-    cards = lines.select("id", "i", F.trim(F.regexp_extract("line", at, 1)).alias("front"), F.trim(F.regexp_extract("line", at, 2)).alias("back")).where("front <> ''")
+    """(id, front, back) from lines that hold '**term**: definition', its first 300 characters; the first of each term counts."""
+    lines = notes.select("id", F.posexplode(F.split("markdown", r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]")).alias("i", "line"))
+    at = r"(?U)\*\*([^*\n]{2,60}?)\*\*\s*(?:\([^)]{1,40}\))?\s*[:—–-]\s*(.{8,300})"
+    front = F.regexp_replace(strip_space(F.regexp_extract("line", at, 1)), ":+$", "")
+    cards = lines.where(F.col("line").rlike(at)).select("id", "i", front.alias("front"), strip_space(F.regexp_extract("line", at, 2)).alias("back")).where(~F.col("back").startswith("**"))
     return cards.groupBy("id", F.lower("front").alias("term")).agg(F.min_by(F.struct("front", "back"), F.col("i")).alias("c")).select("id", "c.front", "c.back")
