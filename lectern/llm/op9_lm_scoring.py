@@ -21,6 +21,15 @@ evidence for its own pairs. Words are lower-cased (A-Z) and split at ASCII white
    that came, and returns sums for each text of each block.
 4. The sums of each text are added up.
 
+With order 3, a word with two before it (u v; u may be the start mark) is first tried as
+
+    S(w | u v) = c'(u v w) / c(u v)   if c'(u v w) > 0
+               = 0.4 * S(w | v)       otherwise
+
+Rows are then distinct (text, triple). Each goes, besides its pair's place, to the place
+of its context u v, which counts the triples and the context and adds what seen triples
+count; a pair's place holds all triples that end in the pair, so it leaves those out.
+
 No word or pair is dropped. No pair holds more rows than there are texts; frequent
 pairs are spread by the hash of both their words. Hashes are of 64 bits.
 
@@ -72,8 +81,10 @@ def _cut(place: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         yield int(place[i]), *(c[i:j].tobytes() for c in columns)
 
 
-_KIND = "place long, block long, kind string, a binary, b binary, doc binary, tf binary"
-_NAMES = ["place", "block", "kind", "a", "b", "doc", "tf"]
+_KIND = "place long, block long, kind string, a binary, b binary, doc binary, tf binary, c binary"
+_NAMES = ["place", "block", "kind", "a", "b", "doc", "tf", "c"]
+#: Stands for a text where a context ends it.
+_END = 65535
 
 
 def _pairs(pair: np.ndarray, tf: np.ndarray) -> np.ndarray:
@@ -82,8 +93,17 @@ def _pairs(pair: np.ndarray, tf: np.ndarray) -> np.ndarray:
     return np.bincount(inverse, weights=tf)[inverse] - tf
 
 
-def lm_scores(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, score) for every row of ``docs`` (doc_id, text)."""
+def _others(gram: np.ndarray, text: np.ndarray, tf: np.ndarray) -> np.ndarray:
+    """c' of each row where a text may have several rows of a gram."""
+    _, inverse = np.unique(gram, return_inverse=True)
+    _, own = np.unique(mix(gram) ^ (text.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), return_inverse=True)
+    return np.bincount(inverse, weights=tf)[inverse] - np.bincount(own, weights=tf)[own]
+
+
+def lm_scores(docs: DataFrame, order: int = 2) -> DataFrame:
+    """(doc_id, n_words, score) for every row of ``docs`` (doc_id, text); ``order`` is 2 or 3."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     counts = word_counts(docs)
     total, kinds = counts.agg(F.sum("n"), F.count("*")).first()
     rows = docs.count()
@@ -94,7 +114,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     start = len(known)  # the id of the start mark
     logs = np.log(np.array([by[int(h)] for h in known] + [max(texts, 1)], np.float64))
     log_n = float(np.log(total or 1))
-    places = max(64, int((total or 0) // ROWS))
+    places = max(64, int((total or 0) * (order - 1) // ROWS))
     sent = docs.sparkSession.sparkContext.broadcast((known, logs))
     alpha = float(np.log(ALPHA))
 
@@ -109,7 +129,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             words = [hashes.of((x.as_py() or b"").lower().split()) for x in batch.column(1)]
             n = np.array([len(w) for w in words], np.int64)
             ids = batch.column(0)
-            out.append((-1 - block % places, block, "D", ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), n.tobytes(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), None))
+            out.append((-1 - block % places, block, "D", ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), n.tobytes(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), None, None))
             cur = np.concatenate([*words, np.empty(0, np.uint64)])
             if len(cur):
                 doc = np.repeat(np.arange(len(n), dtype=np.uint16), n)
@@ -122,10 +142,20 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                 first[1:] = doc[1:] != doc[:-1]
                 prev, i_prev = np.roll(cur, 1), np.roll(i_cur, 1)
                 prev[first], i_prev[first] = np.uint64(1), start
-                _, at, tf = np.unique(mix(mix(prev) + cur * _C) ^ (doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), return_index=True, return_counts=True)
+                gram = mix(mix(prev) + cur * _C)
+                if order == 3:
+                    second = np.roll(first, 1) & ~first
+                    before = np.roll(cur, 2)
+                    before[second] = np.uint64(1)
+                    context = mix(mix(before) + prev * _C)
+                    triple = np.where(first, np.uint64(0), mix(context + cur * _C) | np.uint64(1))
+                    ends = gram[np.append(np.nonzero(first)[0][1:], len(cur)) - 1]
+                    gram = np.where(first, gram, triple)
+                _, at, tf = np.unique(gram ^ (doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), return_index=True, return_counts=True)
                 v, w, i, j, doc, tf = prev[at], cur[at], i_prev[at], i_cur[at], doc[at], tf.astype(np.uint32)
                 hh, ht, th, tt = (i >= 0) & (j >= 0), (i >= 0) & (j < 0), (i < 0) & (j >= 0), (i < 0) & (j < 0)
                 two = (mix(i[hh].astype(np.uint64) * _C + j[hh].astype(np.uint64)) >> np.uint64(20)) % np.uint64(places)
+                c = triple[at] if order == 3 else None
                 spot = lambda h: (h >> np.uint64(20)).astype(np.int64) % places
                 for kind, place, a, b, m in (
                     ("HH", two.astype(np.int64), i[hh].astype(np.uint32), j[hh].astype(np.uint32), hh),
@@ -135,8 +165,13 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                     ("TW", spot(w[tt]), w[tt], v[tt], tt),
                 ):
                     if m.any():
-                        out += [(p, block, kind, *x) for p, *x in _cut(place, a, b, doc[m], tf[m])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * 4), strict=True)], _NAMES)
+                        out += [(p, block, kind, *x[:4], x[4] if order == 3 else None) for p, *x in _cut(place, a, b, doc[m], tf[m], *([c[m]] if order == 3 else []))]
+                if order == 3:
+                    m = c != 0
+                    x = context[at][m], c[m], doc[m], tf[m]
+                    x = [np.concatenate(y) for y in zip(x, (ends, np.zeros(len(ends), np.uint64), np.full(len(ends), _END, np.uint16), np.ones(len(ends), np.uint32)), strict=True)]
+                    out += [(p, block, "UV", *y, None) for p, *y in _cut(spot(x[0]), *x)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * 5), strict=True)], _NAMES)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value[0]
@@ -144,19 +179,19 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             h, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
             keep = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h
             h, n = h[keep], n[keep]
-            out = [(p, None, "U", *x, None, None) for p, *x in _cut((h >> np.uint64(20)).astype(np.int64) % places, h, n)]
+            out = [(p, None, "U", *x, None, None, None) for p, *x in _cut((h >> np.uint64(20)).astype(np.int64) % places, h, n)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * 4), strict=True)], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * 5), strict=True)], _NAMES)
 
     def join(t: pa.Table) -> pa.Table:
         cols = {c: t[c].to_pylist() for c in _NAMES}
-        at = {k: [i for i, x in enumerate(cols["kind"]) if x == k] for k in ("D", "U", "HH", "HT", "TH", "TV", "TW")}
+        at = {k: [i for i, x in enumerate(cols["kind"]) if x == k] for k in ("D", "U", "HH", "HT", "TH", "TV", "TW", "UV")}
         out = [(cols["block"][i], True, cols["a"][i], cols["b"][i], cols["doc"][i]) for i in at["D"]]
         get = lambda kind, c, d: np.frombuffer(b"".join(cols[c][i] for i in at[kind]), d)
         logs = sent.value[1]
         uh, un = get("U", "a", np.uint64), get("U", "b", np.int64)
-        order = np.argsort(uh)
-        uh, ul = uh[order], np.log(un[order].astype(np.float64))
+        ranked = np.argsort(uh)
+        uh, ul = uh[ranked], np.log(un[ranked].astype(np.float64))
         blocks, docs_, gains = [], [], []
         for kind in ("HH", "HT", "TH", "TV", "TW"):
             if not at[kind]:
@@ -164,18 +199,35 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             a = get(kind, "a", np.uint32 if kind == "HH" else np.uint64)
             b = get(kind, "b", np.uint64 if kind[0:2] in ("TV", "TW") else np.uint32)
             tf = get(kind, "tf", np.uint32).astype(np.float64)
-            rest = _pairs(mix(mix(a.astype(np.uint64)) + b.astype(np.uint64) * _C), tf)
+            pair_hash = mix(mix(a.astype(np.uint64)) + b.astype(np.uint64) * _C)
+            sizes = [len(cols["doc"][i]) // 2 for i in at[kind]]
+            block, doc = np.repeat(np.array([cols["block"][i] for i in at[kind]], np.int64), sizes), get(kind, "doc", np.uint16)
+            if order == 3:
+                c, text = get(kind, "c", np.uint64), block * 65536 + doc
+                rest = _others(pair_hash, text, tf)
+                longer, less = (c != 0) & (_others(c, text, tf) > 0), np.where(c != 0, alpha, 0.0)
+            else:
+                rest, longer, less = _pairs(pair_hash, tf), False, 0.0
             seen = rest > 0
             log_a = logs[a] if kind == "HH" else ul[np.searchsorted(uh, a)]
             log_b = logs[b] if kind in ("HH", "HT", "TH") else 0.0
             log_v, log_w = (log_a, log_b) if kind in ("HH", "TH", "TV") else (log_b, log_a)
             pair = np.log(np.maximum(rest, 1.0)) - log_v
             back = alpha + log_w - log_n
-            gain = np.where(seen, pair if kind != "TW" else 0.0, back if kind != "TV" else 0.0) * tf
-            sizes = [len(cols["doc"][i]) // 2 for i in at[kind]]
-            blocks.append(np.repeat(np.array([cols["block"][i] for i in at[kind]], np.int64), sizes))
-            docs_.append(get(kind, "doc", np.uint16))
+            gain = np.where(longer, 0.0, np.where(seen, pair + less if kind != "TW" else 0.0, back + less if kind != "TV" else 0.0)) * tf
+            blocks.append(block)
+            docs_.append(doc)
             gains.append(gain)
+        if at["UV"]:
+            a, b, doc, tf = get("UV", "a", np.uint64), get("UV", "b", np.uint64), get("UV", "doc", np.uint16), get("UV", "tf", np.uint32).astype(np.float64)
+            block = np.repeat(np.array([cols["block"][i] for i in at["UV"]], np.int64), [len(cols["doc"][i]) // 2 for i in at["UV"]])
+            _, inverse = np.unique(a, return_inverse=True)
+            total = np.bincount(inverse, weights=tf)[inverse]
+            rest = _others(b, block * 65536 + doc, tf)
+            m = (doc != _END) & (rest > 0)
+            blocks.append(block[m])
+            docs_.append(doc[m])
+            gains.append((np.log(rest[m]) - np.log(total[m])) * tf[m])
         if blocks:
             key, inverse = np.unique(np.concatenate(blocks) * 65536 + np.concatenate(docs_), return_inverse=True)
             total = np.bincount(inverse, weights=np.concatenate(gains))
