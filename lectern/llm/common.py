@@ -49,6 +49,33 @@ def staged(df: DataFrame, *partition: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete what ``staged`` wrote, once nothing reads it any more."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/lectern-" in path:
+                to = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                to.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(to, True)
+
+
+def threshold(df: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of highest ``count``, as many of them as a least count can tell and ``most`` at most.
+
+    The least count comes from a histogram of a few hundred rows, so nothing is sorted and
+    only what passes travels, however many partitions there are.
+    """
+    n = F.col(count)
+    step = F.when(n < 64, n.cast("double")).otherwise(F.floor(F.log2(n) * 16) + 1000.0)
+    bins = df.groupBy(step.alias("bin")).agg(F.count("*").alias("rows"), F.min(count).alias("least")).collect()
+    left, least = most, None
+    for b in sorted(bins, key=lambda b: -b.bin):
+        left -= b.rows
+        if left < 0:
+            break
+        least = b.least
+    return df.where(n >= least) if least is not None else df.where("false")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)
@@ -61,7 +88,7 @@ def row_key(text: str = "text") -> Column:
 class WordHash(dict):
     """bytes -> 64-bit hash, remembered up to ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 120_000):
         self.limit = limit
 
     def __missing__(self, word: bytes) -> int:
