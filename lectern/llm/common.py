@@ -161,29 +161,44 @@ def once(docs: DataFrame) -> DataFrame:
     return without(docs, again).unionByName(repeated)
 
 
+#: Edges up to this many: the table of their least neighbours is broadcast.
+BROADCAST_EDGES = 200_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` as (node, component), the smallest id reachable.
 
     Alternating large-star and small-star steps; every step is two aggregations with
-    map-side minima, so a node with very many links never meets in one task whole.
-    Each step is written to the shared folder. Nodes without edges are not returned.
+    map-side minima and two joins that are broadcast (few edges) or salted (many), so a
+    node with very many links never meets in one task whole. Each step is written to the
+    shared folder and the one before it deleted. Nodes without edges are not returned.
+    The number of steps grows with the logarithm of the longest path; if ``rounds`` don't
+    do, it raises rather than return components in part.
     """
+
+    def least(rows: DataFrame, low: DataFrame, few: bool) -> DataFrame:
+        if few:
+            return rows.join(F.broadcast(low), "u")
+        salted = low.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(31))))
+        return rows.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(32)).cast("int")).join(salted, ["u", "_s"]).drop("_s")
+
     e = staged(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
-    previous = None
+    previous, few = None, e.count() <= BROADCAST_EDGES
     for _ in range(rounds):
         both = e.union(e.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # every larger neighbour is hung on the smallest node around
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = least(both.where("v > u"), low, few).select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.where("u <> v").distinct()
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        e = staged(small.where("u <> v").distinct())
+        small = least(down, low, few).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
+        old, e = e, staged(small.where("u <> v").distinct())
+        dropped(old)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
         if state == previous and state[0] == state[2]:
-            break
-        previous = state
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+        previous, few = state, state[0] <= BROADCAST_EDGES
+    raise RuntimeError(f"components: not settled after {rounds} rounds")
 
 
 def doc_batches(batches: Iterator, docs: int = 2000) -> Iterator:
