@@ -14,6 +14,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -201,8 +203,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     raise RuntimeError(f"components: not settled after {rounds} rounds")
 
 
-def doc_batches(batches: Iterator, docs: int = 2000) -> Iterator:
-    """Arrow batches cut to a bounded number of rows."""
+def doc_batches(batches: Iterator, docs: int = 2000, most_bytes: int = 8 << 20) -> Iterator:
+    """Arrow batches cut to a bounded number of rows and bytes of text; a longer text is a batch of its own."""
     for batch in batches:
-        for at in range(0, batch.num_rows, docs):
-            yield batch.slice(at, docs)
+        size = np.zeros(batch.num_rows, np.int64)
+        for c in batch.columns:
+            if pa.types.is_binary(c.type) or pa.types.is_string(c.type):
+                size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            most = (ends[at - 1] if at else 0) + most_bytes
+            to = min(at + docs, max(at + 1, int(np.searchsorted(ends, most, side="right"))), batch.num_rows)
+            yield batch.slice(at, to - at)
+            at = to

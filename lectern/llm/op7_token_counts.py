@@ -9,17 +9,24 @@ each distinct unit is encoded once for the whole corpus.
 
 1. Units are counted inside each batch, summed by Spark, and each distinct unit is
    encoded once: the table (unit, uses, pieces), written to the shared folder.
-2. The ``head`` most used units (at most ``head`` of at most ``head_chars``
-   characters, so of bounded size) travel to the tasks; a document's frequencies of
-   those are summed in place.
+2. The most used units (at most ``head`` of at most ``head_chars`` characters, so of
+   bounded size) travel to the tasks; a document's frequencies of those are summed in
+   place.
 3. The frequencies of all other units are joined to the table by a shuffle and
    summed per document. No list of ids is ever built.
 
-Null and empty texts have 0 tokens. Rows are kept as they are, repeated ids too.
+Workers hold at most ``flush`` units or ``head`` pieces and encode ``CHUNK`` units at a
+time, so their memory doesn't grow with the corpus.
+
+Null and empty texts have 0 tokens. Rows are kept as they are, repeated ids too. A null
+doc_id is kept. An empty table gives an empty result. Only doc_id and text are read, so
+other columns may have any names. Files of tokenizers (.json) of the byte-level kind are
+taken; others raise, as their pieces may span units.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,35 +35,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, staged
+from .common import doc_batches, row_key, staged, threshold
 
 #: The characters with the Unicode property White_Space.
 WHITE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
-def _load(path: str):
-    """A function from a list of texts to numbers of pieces, for a tokenizers or sentencepiece file."""
-    if path.endswith(".model"):
-        import sentencepiece
+CHUNK = 1000
+
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+def _tokenizer(path: str):
+    if not path.endswith(".json"):
+        raise ValueError(f"{path}: a tokenizers file (.json) is needed")
+    # threads of its own would only cost memory: each task has one core
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
+    return Tokenizer.from_file(path)
+
+
+def _load(path: str):
+    """A function from a list of texts to numbers of pieces."""
+    t = _tokenizer(path)
     t.no_truncation()
     t.no_padding()
-    return lambda texts: [len(x.ids) for x in t.encode_batch(texts, add_special_tokens=False)]
+    return lambda texts: [len(x.ids) for at in range(0, len(texts), CHUNK) for x in t.encode_batch(texts[at : at + CHUNK], add_special_tokens=False)]
 
 
 def special_strings(path: str) -> list[str]:
     """Strings which the library takes for special tokens inside a text."""
-    if path.endswith(".model"):
-        return []
-    from tokenizers import Tokenizer
-
-    return sorted(x.content for x in Tokenizer.from_file(path).get_added_tokens_decoder().values())
+    return sorted(x.content for x in _tokenizer(path).get_added_tokens_decoder().values())
 
 
 def splitter(path: str):
@@ -75,7 +84,7 @@ def splitter(path: str):
     return units
 
 
-def unit_table(docs: DataFrame, path: str, flush: int = 300_000) -> DataFrame:
+def unit_table(docs: DataFrame, path: str, flush: int = 120_000) -> DataFrame:
     """(unit, uses, pieces): each distinct unit of all texts, encoded once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +93,7 @@ def unit_table(docs: DataFrame, path: str, flush: int = 300_000) -> DataFrame:
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "n"])
 
-        for batch in batches:
+        for batch in doc_batches(batches):
             for text in batch.column(0):
                 seen.update(units(text.as_py() or ""))
                 if len(seen) >= flush:
@@ -102,16 +111,16 @@ def unit_table(docs: DataFrame, path: str, flush: int = 300_000) -> DataFrame:
     return staged(used.mapInArrow(encode, "unit string, uses long, pieces long"))
 
 
-def token_counts(docs: DataFrame, tokenizer: str, head: int = 150_000, head_chars: int = 24) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, head: int = 120_000, head_chars: int = 48) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for every row of ``docs``; ``tokenizer`` is the path of a vocabulary file."""
     spark = docs.sparkSession
     table = unit_table(docs, tokenizer)
-    top = table.where(F.length("unit") <= head_chars).orderBy(F.desc("uses"), "unit").limit(head)
-    known = spark.sparkContext.broadcast({r.unit: r.pieces for r in top.collect()})
+    top = threshold(table.where(F.length("unit") <= head_chars), "uses", head)
+    known = spark.sparkContext.broadcast({r.unit: r.pieces for r in top.select("unit", "pieces").collect()})
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, pieces = splitter(tokenizer), known.value
-        for batch in batches:
+        for batch in doc_batches(batches, 1000):
             total, rest, times = [], [], []
             for text in batch.column(2):
                 n, names, counts = 0, [], []

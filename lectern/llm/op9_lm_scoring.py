@@ -34,7 +34,9 @@ No word or pair is dropped. No pair holds more rows than there are texts; freque
 pairs are spread by the hash of both their words. Hashes are of 64 bits.
 
 Null and empty texts have no words and score null. Rows are scored one by one,
-repeated ids and texts too; a null doc_id is kept.
+repeated ids and texts too; a null doc_id is kept. An empty table gives an empty result.
+Only doc_id and text are read, so other columns may have any names. Workers hold a block
+of texts or the rows of one place, both of bounded size.
 """
 
 from __future__ import annotations
@@ -46,13 +48,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, doc_batches, mix, staged
+from .common import WordHash, doc_batches, mix, staged, threshold
 
 ALPHA = 0.4
-HEAD = 150_000
-BLOCK = 2000
+HEAD = 100_000
+#: Texts in a block at most; a block holds ``BLOCK_BYTES`` of text or one text.
+BLOCK, BLOCK_BYTES = 1000, 4 << 20
 #: Rows a place is meant to hold.
-ROWS = 1_500_000
+ROWS = 500_000
+#: Blocks of one partition at most: a block's number is that of the partition, times this, and on.
+BLOCKS = 1 << 20
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,7 +66,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        for batch in doc_batches(batches, BLOCK):
+        for batch in doc_batches(batches, BLOCK, BLOCK_BYTES):
             got = [hashes.of((x.as_py() or b"").lower().split()) for x in batch.column(0)]
             h, n = np.unique(np.concatenate([*got, np.empty(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
@@ -108,9 +113,11 @@ def lm_scores(docs: DataFrame, order: int = 2) -> DataFrame:
     total, kinds = counts.agg(F.sum("n"), F.count("*")).first()
     rows = docs.count()
     texts = docs.where(F.coalesce(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))).count() if total else 0
-    head = counts.orderBy(F.desc("n"), "h").limit(HEAD).collect()
+    head = threshold(counts, "n", HEAD).collect()
     known = np.sort(np.array([r.h for r in head], np.int64).view(np.uint64))
     by = {r.h & ((1 << 64) - 1): r.n for r in head}
+    if not len(known):  # too many words of one count: none is sent, and 0 stands for no word
+        known, by = np.zeros(1, np.uint64), {0: 1}
     start = len(known)  # the id of the start mark
     logs = np.log(np.array([by[int(h)] for h in known] + [max(texts, 1)], np.float64))
     log_n = float(np.log(total or 1))
@@ -122,8 +129,8 @@ def lm_scores(docs: DataFrame, order: int = 2) -> DataFrame:
         from pyspark import TaskContext
 
         hashes, known = WordHash(), sent.value[0]
-        block = TaskContext.get().partitionId() << 32
-        for batch in doc_batches(batches, BLOCK):
+        block = TaskContext.get().partitionId() * BLOCKS
+        for batch in doc_batches(batches, BLOCK, BLOCK_BYTES):
             block += 1
             out: list[tuple] = []
             words = [hashes.of((x.as_py() or b"").lower().split()) for x in batch.column(1)]
