@@ -31,11 +31,13 @@ _own_dir: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (local tests) a temporary folder is made.
+    Only where the session names none and runs on this machine (tests) a temporary folder is made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="lectern-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
@@ -146,20 +148,22 @@ def attach(rows: DataFrame, table: DataFrame, key: str, salt: str = "doc_id", sa
 
 def without(docs: DataFrame, bad: DataFrame, most: int = 300_000) -> DataFrame:
     """Rows of ``docs`` that ``bad`` (doc_id, key) doesn't name; no shuffle of texts while it names ``most`` rows or fewer."""
-    names = bad.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct()
+    names = bad.select("doc_id", "key").distinct()
     names = F.broadcast(names) if spark_count(names, most) is not None else names
-    return docs.withColumn("_key", row_key()).join(names, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_anti").drop("_key")
+    return docs.alias("_docs").join(names.alias("_bad"), _named("_docs", "_bad"), "left_anti")
+
+
+def _named(docs: str, names: str) -> Column:
+    """Whether a row of (doc_id, text) is the one that (doc_id, key) names; no column is added, so any other names will do."""
+    return F.col(f"{docs}.doc_id").eqNullSafe(F.col(f"{names}.doc_id")) & (row_key(f"{docs}.text") == F.col(f"{names}.key"))
 
 
 def once(docs: DataFrame) -> DataFrame:
     """One row for each (doc_id, text); only rows that repeat are moved."""
-    named = docs.withColumn("_key", row_key())
-    again = named.groupBy("doc_id", "_key").count().where("count > 1").select(F.col("doc_id").alias("doc_id"), F.col("_key").alias("key"))
-    again = staged(again)
+    again = staged(docs.select("doc_id", row_key().alias("key")).groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"))
     if not again.limit(1).count():
         return docs
-    both = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
-    repeated = named.join(again.toDF("_d", "_k"), both, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    repeated = docs.alias("_docs").join(again.alias("_names"), _named("_docs", "_names"), "left_semi").dropDuplicates(["doc_id", "text"])
     return without(docs, again).unionByName(repeated)
 
 

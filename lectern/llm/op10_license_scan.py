@@ -7,8 +7,8 @@ be there before its regex is tried. Both filters are lossless: all that a rule m
 holds one of its keywords and one of the few. A rule's places are word intervals. They are put in the order
 (start, longer first, priority) and folded once: an interval contained in one already
 kept is suppressed; of two that overlap otherwise the one of higher priority stays.
-The fold keeps the last interval and the set of labels, so a text with very many
-places costs time in proportion to them.
+The fold keeps the interval in hand; what is settled goes to arrays of bounded pieces, so
+a text with very many places costs little more than time in proportion to them.
 
 The rules are of three kinds: sentences of the licenses' own texts and notices, SPDX
 identifiers (in SPDX lines and their expressions, after words of a grant, and alone
@@ -18,7 +18,8 @@ Base places (fixed phrases, all of them counted) are found apart from the rules,
 suppression never removes their labels.
 
 Null texts count as empty: no words, no places, empty labels, score 0. Rows are kept
-as they are. Everything is one pass over each row; nothing is shuffled.
+as they are, repeated ones and null doc_ids too; an empty table gives an empty result.
+Kept columns may have any names but those that are added. Everything is one pass over each row; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -223,8 +224,10 @@ def scan_licenses(docs: DataFrame, *keep: str, prefilter: bool = True) -> DataFr
     ``detections`` holds the places of rules that were kept: label, first word and the word after the last.
     ``prefilter`` changes the speed only.
     """
-    line = docs.select(*keep, padded_line(F.col("text")).alias("line"))
-    line = line.select(*keep, "line", (_spaces(F.col("line")) - 1).cast("long").alias("n_words"), reduce(lambda a, b: a | b, [F.col("line").contains(k) for k in KEYWORDS] if prefilter else [F.lit(True)]).alias("gate"))
+    # kept columns travel under numbers, so any names will do
+    kept = [f"_k{i}" for i in range(len(keep))]
+    line = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], padded_line(F.col("text")).alias("line"))
+    line = line.select(*kept, "line", (_spaces(F.col("line")) - 1).cast("long").alias("n_words"), reduce(lambda a, b: a | b, [F.col("line").contains(k) for k in KEYWORDS] if prefilter else [F.lit(True)]).alias("gate"))
     # base phrases: what stands between their places tells where they are
     for i, (phrase, _) in enumerate(BASE):
         here = F.col("line").contains(f" {phrase} ")
@@ -237,7 +240,7 @@ def scan_licenses(docs: DataFrame, *keep: str, prefilter: bool = True) -> DataFr
         lasts.append(F.col("n_words") - (_spaces(F.element_at(parts, -1)) - 1) - n)
         labels.append(F.when(parts.isNotNull(), F.lit(label)))
     base = line.select(
-        *keep,
+        *kept,
         "line",
         "n_words",
         "gate",
@@ -250,43 +253,86 @@ def scan_licenses(docs: DataFrame, *keep: str, prefilter: bool = True) -> DataFr
     names = ("label", "keywords", "regex", "priority", "confidence")
     literal = F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in rules()])), kind)
     gated = F.filter(literal, lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col("line"), k))) if prefilter else literal
-    places = F.flatten(F.transform(gated, _places))
-    start = F.named_struct(F.lit("kept"), F.array().cast("array<struct<label:string,start:bigint,end:bigint,confidence:double>>"), F.lit("start"), F.lit(-1).cast("bigint"), F.lit("end"), F.lit(-1).cast("bigint"), F.lit("priority"), F.lit(0))
-    folded = F.aggregate(F.sort_array(places), start, _suppress, lambda a: a["kept"])
-    found = base.withColumn("detections", F.when(F.col("gate"), folded).otherwise(F.array().cast("array<struct<label:string,start:bigint,end:bigint,confidence:double>>")))
+    places = F.sort_array(F.flatten(F.transform(gated, _places)))
+    found = base.withColumn("detections", F.when(F.col("gate"), _suppressed(places)).otherwise(F.array().cast(f"array<{_FOUND}>")))
     every = F.sort_array(F.array_union("base", F.transform("detections", lambda d: d["label"])))
     best = F.greatest(F.when(F.size("base") > 0, 0.8).otherwise(0.0), F.coalesce(F.array_max(F.transform("detections", lambda d: d["confidence"])), F.lit(0.0)))
-    return found.select(*keep, "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", F.sort_array("base")).alias("base_labels"), F.concat_ws(",", every).alias("labels"), best.alias("score"), "detections")
+    out = found.select(*kept, "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", F.sort_array("base")).alias("base_labels"), F.concat_ws(",", every).alias("labels"), best.alias("score"), "detections")
+    return out.toDF(*keep, *out.columns[len(kept) :])
+
+
+_FOUND = "struct<label:string,start:bigint,end:bigint,confidence:double>"
+#: Arrays are built in pieces of so many, which are then put together: appending to one long array would copy it each time.
+PIECE = 256
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _pieces(n: Column) -> Column:
+    """Numbers of the pieces of an array of n."""
+    return F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
 def _places(r: Column) -> Column:
-    """Every place of a rule as (start, -end, priority, label, end, confidence), in words."""
+    """Every place of a rule as (start, -end, priority, label, confidence), in words."""
     line = F.col("line")
-    hits = F.regexp_extract_all(line, r["regex"], F.lit(0))
-    # words before each place: spaces in what stands before it
-    between = F.split(line, r["regex"], -1)
-    start = F.named_struct(F.lit("at"), F.lit(0).cast("bigint"), F.lit("out"), F.array().cast("array<bigint>"))
-    ends = F.aggregate(
-        F.zip_with(F.slice(between, F.lit(1), F.size(hits)), hits, lambda b, h: F.struct(_spaces(b).cast("bigint").alias("b"), _spaces(h).cast("bigint").alias("h"))),
-        start,
-        lambda a, x: F.named_struct(F.lit("at"), a["at"] + x["b"] + x["h"], F.lit("out"), F.concat(a["out"], F.array(a["at"] + x["b"]))),
-        lambda a: a["out"],
-    )
-    return F.zip_with(ends, hits, lambda s, h: F.struct(s.alias("start"), (-(s + _spaces(h))).cast("bigint").alias("back"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence")))
-
-
-def _suppress(a: Column, x: Column) -> Column:
-    """Fold step over places in order: containment, then priority among overlaps."""
-    end = -x["back"]
-    item = F.array(F.struct(x["label"].alias("label"), x["start"].alias("start"), end.alias("end"), x["confidence"].alias("confidence")))
-    inside = end <= a["end"]
-    overlaps = x["start"] < a["end"]
-    replaces = overlaps & (x["priority"] < a["priority"])
-    dropped = inside | (overlaps & ~replaces)
-    kept = F.when(dropped, a["kept"]).when(replaces, F.concat(F.slice(a["kept"], F.lit(1), F.greatest(F.size(a["kept"]) - 1, F.lit(0))), item)).otherwise(F.concat(a["kept"], item))
-    return F.named_struct(
-        F.lit("kept"), kept, F.lit("start"), F.when(dropped, a["start"]).otherwise(x["start"]), F.lit("end"), F.when(dropped, a["end"]).otherwise(end), F.lit("priority"), F.when(dropped, a["priority"]).otherwise(x["priority"])
-    )
+    # words before and in each place: spaces in what stands before it and in it
+    hits = F.transform(F.regexp_extract_all(line, r["regex"], F.lit(0)), _spaces)
+    before = F.transform(F.split(line, r["regex"], -1), _spaces)
+    long = lambda c: c.cast("bigint")
+
+    def located(steps: Column) -> Column:
+        """``steps``: (b)efore and (h)it in words; running sums, piece by piece."""
+
+        def piece(o: Column, i: Column) -> Column:
+            start = F.named_struct(F.lit("at"), o["at"], F.lit("out"), F.array().cast("array<struct<s:bigint,e:bigint>>"))
+            ran = F.aggregate(
+                F.slice(steps, i * PIECE + 1, F.lit(PIECE)),
+                start,
+                lambda a, x: F.named_struct(F.lit("at"), a["at"] + x["b"] + x["h"], F.lit("out"), F.concat(a["out"], F.array(F.named_struct(F.lit("s"), a["at"] + x["b"], F.lit("e"), a["at"] + x["b"] + x["h"])))),
+            )
+            return _let(ran, lambda p: F.named_struct(F.lit("at"), p["at"], F.lit("out"), F.concat(o["out"], F.array(p["out"]))))
+
+        first = F.named_struct(F.lit("at"), F.lit(0).cast("bigint"), F.lit("out"), F.array().cast("array<array<struct<s:bigint,e:bigint>>>"))
+        return F.aggregate(_pieces(F.size(steps)), first, piece, lambda o: F.flatten(o["out"]))
+
+    steps = F.zip_with(F.slice(before, F.lit(1), F.size(hits)), hits, lambda b, h: F.named_struct(F.lit("b"), long(b), F.lit("h"), long(h)))
+    return _let(steps, lambda x: F.transform(located(x), lambda p: F.struct(p["s"].alias("start"), (-p["e"]).alias("back"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence"))))
+
+
+def _suppressed(places: Column) -> Column:
+    """The places that are kept of ``places`` in order: no place within another; of two that overlap the one of higher priority."""
+    last = "struct<label:string,start:bigint,end:bigint,confidence:double,priority:int>"
+    bare = lambda x: F.named_struct(*[y for c in ("label", "start", "end", "confidence") for y in (F.lit(c), x[c])])
+
+    def step(a: Column, x: Column) -> Column:
+        """``last`` is the place in hand: a later one drops, replaces or settles it."""
+        end = -x["back"]
+        item = F.named_struct(F.lit("label"), x["label"], F.lit("start"), x["start"], F.lit("end"), end, F.lit("confidence"), x["confidence"], F.lit("priority"), x["priority"])
+        none = a["last"].isNull()
+        overlaps = ~none & (x["start"] < a["last"]["end"])
+        drops = ~none & ((end <= a["last"]["end"]) | (overlaps & (x["priority"] >= a["last"]["priority"])))
+        settled = F.when(none | overlaps | drops, a["done"]).otherwise(F.concat(a["done"], F.array(bare(a["last"]))))
+        return F.named_struct(F.lit("done"), settled, F.lit("last"), F.when(drops, a["last"]).otherwise(item))
+
+    def piece(o: Column, i: Column) -> Column:
+        ran = F.aggregate(F.slice(every, i * PIECE + 1, F.lit(PIECE)), F.named_struct(F.lit("done"), F.array().cast(f"array<{_FOUND}>"), F.lit("last"), o["last"]), step)
+        return _let(ran, lambda p: F.named_struct(F.lit("done"), F.concat(o["done"], F.array(p["done"])), F.lit("last"), p["last"]))
+
+    def whole(o: Column) -> Column:
+        return F.concat(F.flatten(o["done"]), F.when(o["last"].isNull(), F.array().cast(f"array<{_FOUND}>")).otherwise(F.array(bare(o["last"]))))
+
+    every = None
+
+    def run(x: Column) -> Column:
+        nonlocal every
+        every = x
+        return F.aggregate(_pieces(F.size(x)), F.named_struct(F.lit("done"), F.array().cast(f"array<array<{_FOUND}>>"), F.lit("last"), F.lit(None).cast(last)), piece, whole)
+
+    return _let(places, run)
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -114,8 +114,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame([], empty)
     places = hits.groupBy("doc_id", "key", "n", "item_id", "k", "m").agg(F.sort_array(F.collect_set("p")).alias("places"))
     last = F.greatest(F.col("n") - F.col("m") + 1, F.lit(1))
-    wins = staged(places.select("doc_id", "key", "k", "m", F.explode(_starts(F.col("places"), F.col("m"), last, F.col("n"))).alias("s")).distinct())
-    named = wins.groupBy("doc_id", "key").agg(F.collect_set(F.struct("k", "m", "s")).alias("wins"))
+    wins = staged(places.select("doc_id", "key", "k", "m", "item_id", F.explode(_starts(F.col("places"), F.col("m"), last, F.col("n"))).alias("s")).distinct())
+    named = wins.groupBy("doc_id", "key").agg(F.collect_set(F.struct("item_id", "k", "m", "s")).alias("wins"))
     some = spark_count(wins.select("doc_id", "key").distinct(), BROADCAST_IDS) is not None
     ids = wins.select("doc_id", "key").distinct()
     # key first: rows of other texts are not split into words
@@ -126,18 +126,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n = named.alias("n")
     both = n.join(texts, F.col("n.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("n.key") == F.col("t.key"))).select("n.doc_id", "n.key", F.explode("n.wins").alias("x"), *[f"t.sh{k}" for k in widths])
     sh = reduce(lambda a, k: a.when(F.col("x.k") == k, F.slice(F.col(f"sh{k}"), F.col("x.s"), F.col("x.m"))), widths[1:], F.when(F.col("x.k") == widths[0], F.slice(F.col(f"sh{widths[0]}"), F.col("x.s"), F.col("x.m"))))
-    windows = staged(both.select("doc_id", "key", "x.k", "x.m", "x.s", sh.alias("win")).withColumn("f", fingerprint(F.col("win"))))
+    windows = staged(both.select("doc_id", "key", "x.item_id", "x.k", "x.m", "x.s", sh.alias("win")).withColumn("f", fingerprint(F.col("win"))))
 
     byte = lambda f, b: F.shiftrightunsigned(F.col(f), 8 * b).bitwiseAND(F.lit(255).cast("bigint")).cast("int")
     index = items.select("item_id", "k", "m", F.col("f").alias("fi"), F.posexplode(F.array(*[byte("f", b) for b in range(8)])).alias("b", "v"))
     near = F.array(*[F.lit(x) for x in range(256) if bin(x).count("1") <= 2])
-    index = index.select("item_id", "k", "m", "fi", "b", F.explode(F.transform(near, lambda x: F.col("v").bitwiseXOR(x))).alias("v"))
+    # a window asks for the items of its gate only, so windows never meet all items of their size
+    index = index.select("item_id", "fi", "b", F.explode(F.transform(near, lambda x: F.col("v").bitwiseXOR(x))).alias("v"))
     index = F.broadcast(index) if spark_count(items, BROADCAST_ITEMS) is not None else index
-    asked = windows.select("doc_id", "key", "k", "m", "s", "f", F.posexplode(F.array(*[byte("f", b) for b in range(8)])).alias("b", "v"))
-    met = asked.join(index, ["k", "m", "b", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("fi"))) <= RADIUS)
-    met = met.select("doc_id", "key", "k", "m", "s", "item_id").distinct().alias("c")
+    asked = windows.select("doc_id", "key", "item_id", "s", "f", F.posexplode(F.array(*[byte("f", b) for b in range(8)])).alias("b", "v"))
+    met = asked.join(index, ["item_id", "b", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("fi"))) <= RADIUS)
+    met = met.select("doc_id", "key", "s", "item_id").distinct().alias("c")
     w = windows.alias("w")
-    pairs = met.join(w, F.col("c.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("c.key") == F.col("w.key")) & (F.col("c.k") == F.col("w.k")) & (F.col("c.m") == F.col("w.m")) & (F.col("c.s") == F.col("w.s")))
+    pairs = met.join(w, F.col("c.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("c.key") == F.col("w.key")) & (F.col("c.item_id") == F.col("w.item_id")) & (F.col("c.s") == F.col("w.s")))
     shi = items.select("item_id", F.col("sh").alias("item"))
     pairs = pairs.select("c.doc_id", "c.key", "c.item_id", "c.s", "w.win").join(F.broadcast(shi) if spark_count(items, BROADCAST_ITEMS) is not None else shi, "item_id")
     pairs = pairs.withColumn("o", multiset_overlap(F.col("win"), F.col("item"))).withColumn("u", F.size("win") + F.size("item") - F.col("o")).where("4 * o >= 3 * u")

@@ -16,7 +16,8 @@ host with a third of all captures is shared out.
 Urls are compared in lower case without scheme, user, port, query and fragment, and
 without a trailing slash. Null or hostless urls match nothing and are not blocked; a
 null time is before every entry. Two entries of one pattern, category and time: the
-removal wins. Repeated rows are kept.
+removal wins. Repeated rows are kept. Empty tables give empty results (no entries: nothing
+is blocked). Kept columns may have any names but those of the three that are added.
 """
 
 from __future__ import annotations
@@ -73,16 +74,19 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def filter_urls(captures: DataFrame, entries: DataFrame, *keep: str) -> DataFrame:
     """Adds blocked, categories and pattern (the longest active one) to the columns ``keep`` of ``captures`` (url, fetched_at)."""
-    rows = captures.select(*keep, F.col("url").alias("_url"), F.col("fetched_at").alias("_at"))
-    once = rows.select("_url", "_at").distinct().withColumn("key", F.explode(keys(clean_url(F.col("_url")))))
+    # kept columns travel under numbers, so any names will do; a url without a host can't match and needs no join
+    rows = captures.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.when(clean_url(F.col("url")).isNotNull(), F.col("url")).alias("_url"), F.col("fetched_at").alias("_at"))
+    once = rows.where("_url is not null").select("_url", "_at").distinct().withColumn("key", F.explode(keys(clean_url(F.col("_url")))))
     met = attach(once, intervals(entries), "key", salt="_url")
     active = F.filter("spans", lambda s: (s["at"] <= F.col("_at")) & (s["until"].isNull() | (F.col("_at") < s["until"])))
     met = met.withColumn("active", active).where(F.size("active") > 0)
     pattern = F.max_by(F.substring("key", 3, 1 << 20), F.struct(F.length("key"), F.col("key")))
     verdict = met.groupBy("_url", "_at").agg(F.concat_ws(",", F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("active", lambda s: s["category"])))))).alias("categories"), pattern.alias("pattern"))
-    v = verdict.select(F.col("_url").alias("u"), F.col("_at").alias("t"), "categories", "pattern")
-    out = rows.join(v, F.col("_url").eqNullSafe(F.col("u")) & F.col("_at").eqNullSafe(F.col("t")), "left")
-    return out.select(*keep, F.col("categories").isNotNull().alias("blocked"), F.coalesce("categories", F.lit("")).alias("categories"), "pattern")
+    v = verdict.alias("v")
+    r = rows.withColumn("_salt", F.when(F.col("_url").isNull(), F.xxhash64(F.monotonically_increasing_id()))).alias("r")
+    # null urls are spread by a salt that nothing matches
+    out = r.join(v.withColumn("_salt", F.lit(None).cast("long")).alias("v"), (F.col("r._url") == F.col("v._url")) & F.col("r._at").eqNullSafe(F.col("v._at")) & F.col("r._salt").eqNullSafe(F.col("v._salt")), "left")
+    return out.select(*[F.col(f"r._k{i}") for i in range(len(keep))], F.col("v.categories").isNotNull().alias("blocked"), F.coalesce("v.categories", F.lit("")).alias("categories"), F.col("v.pattern")).toDF(*keep, "blocked", "categories", "pattern")
 
 
 def entry_table(spark: SparkSession) -> DataFrame:

@@ -18,7 +18,9 @@ compared, and their class goes through the tables once, with its number of membe
 Vectors of each length are hashed and compared among themselves; the length is part
 of the bucket. Vectors that are null, empty, zero or hold null or non-finite
 components link with nothing. A null vec_id cannot be named by others: such a
-row is its own component (null) and is kept.
+row is its own component (null) and is kept. Rows that repeat a vec_id are vectors of
+their own. An empty table gives an empty result. Only vec_id and embedding are read, so
+other columns may have any names.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ from .common import components, staged
 
 TABLES, BITS, STEP, SEED = 18, 6, 1.0, 29
 BLOCK = 1024
+#: Members of small buckets that share a group.
+GROUP = 2000
 
 
 @lru_cache(maxsize=64)
@@ -111,8 +115,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     meet = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meet = meet.select("rep", "dim", "t", "bucket", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     meet = meet.join(table.select("rep", "times", "x", "keys"), "rep")
-    # small buckets share a task's group, so there are not as many groups as buckets
-    group = F.when(F.col("j") > 0, F.xxhash64("dim", "t", "bucket", "i", "j")).otherwise(F.pmod(F.xxhash64("dim", "t", "bucket"), F.lit(4096)))
+    # small buckets share a task's group, so there are not as many groups as buckets; a group's size stays the same as the table grows
+    groups = max(256, table.count() * TABLES // GROUP)
+    group = F.when(F.col("j") > 0, F.xxhash64("dim", "t", "bucket", "i", "j")).otherwise(F.pmod(F.xxhash64("dim", "t", "bucket"), F.lit(groups)))
 
     def links(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()

@@ -18,7 +18,9 @@
    where the page has any, in page order. So a host's pages may have many templates.
 
 Nothing is cut. Pages that are null or empty give an empty text. A url without a host
-(or null) forms one group of its own, salted like any other. Repeated rows are kept.
+(or null) forms one group of its own, salted like any other. Repeated rows are kept, and
+ties (equal pages, equal wrappers) change nothing. An empty table gives an empty result.
+Kept columns may have any names but ``text``.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 import xxhash
@@ -53,7 +55,6 @@ NOT_MAIN = re.compile(
     r"(?:[-_]?(?:bar|box|list|links?|area|wrap|wrapper|container|inner|menu|items?|buttons?|form|posts?|slot|unit))?"
 )
 MAIN_NAMES = re.compile(r"(?:^|[^a-z])(?:article\w*|main|content|post|entry|story|articlebody|body)(?:$|[^a-z])")
-LONG_ALIGNMENT = 4000
 
 
 def parse(page: str | None) -> Iterator[tuple]:
@@ -165,6 +166,45 @@ def folded(tokens: list) -> list:
     return tokens
 
 
+def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of equal tokens, in order in both.
+
+    Equal beginnings and ends are matched; between them the k-th use of a token in one meets
+    its k-th use in the other, and the longest chain of such meetings in order is kept. The
+    cost is near linear, for short and long streams alike.
+    """
+    n, m = len(a), len(b)
+    head = 0
+    while head < min(n, m) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(n, m) - head and a[n - 1 - tail] == b[m - 1 - tail]:
+        tail += 1
+    where: dict[str, list[int]] = {}
+    for j in range(head, m - tail):
+        where.setdefault(b[j], []).append(j)
+    used: dict[str, int] = {}
+    meet = []
+    for i in range(head, n - tail):
+        k = used.get(a[i], 0)
+        if k < len(where.get(a[i], ())):
+            meet.append((i, where[a[i]][k]))
+            used[a[i]] = k + 1
+    # longest rising chain of the second places
+    ends: list[int] = []
+    last: list[int] = []
+    back = [-1] * len(meet)
+    for q, (_, j) in enumerate(meet):
+        at = bisect_left(ends, j)
+        back[q] = last[at - 1] if at else -1
+        ends[at : at + 1], last[at : at + 1] = [j], [q]
+    chain, q = [], last[-1] if last else -1
+    while q >= 0:
+        chain.append(meet[q])
+        q = back[q]
+    return [(i, i) for i in range(head)] + chain[::-1] + [(n - tail + i, m - tail + i) for i in range(tail)]
+
+
 class Wrapper:
     """A union-free expression: tokens [kind, path or key, text or None, words, linked words, page or None, optional]."""
 
@@ -182,15 +222,12 @@ class Wrapper:
         a, b = self.tokens, other.tokens
         names_a, names_b = [f"{t[0]}{t[1]}" for t in a], [f"{t[0]}{t[1]}" for t in b]
         out: list = []
-        if names_a == names_b:
-            blocks = [("equal", 0, len(a), 0, len(b))]
-        else:
-            blocks = SequenceMatcher(None, names_a, names_b, autojunk=max(len(a), len(b)) > LONG_ALIGNMENT).get_opcodes()
-        for op, i, i2, j, j2 in blocks:
-            if op == "equal":
-                out += [[*together(x, y)[:6], x[6] or y[6]] for x, y in zip(a[i:i2], b[j:j2], strict=True)]
-            else:
-                out += [[*t[:6], True] for t in a[i:i2]] + [[*t[:6], True] for t in b[j:j2]]
+        i = j = 0
+        for x, y in [*aligned(names_a, names_b), (len(a), len(b))]:
+            out += [[*t[:6], True] for t in a[i:x]] + [[*t[:6], True] for t in b[j:y]]
+            if x < len(a):
+                out.append([*together(a[x], b[y])[:6], a[x][6] or b[y][6]])
+            i, j = x + 1, y + 1
         return Wrapper(repeats(out), self.pages + other.pages)
 
     def to_json(self) -> str:

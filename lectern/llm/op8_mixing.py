@@ -18,7 +18,9 @@ Sources are few against documents, yet no step needs them in one place: ranks co
 from a range partitioning and the water level from a handful of aggregations.
 
 Null texts have size 0; documents of size 0 take nothing. A null source comes last.
-Repeated rows are documents of their own. A null ``doc_id`` is kept.
+Repeated rows are documents of their own. A null ``doc_id`` is kept. An empty table gives
+an empty result. Only doc_id, text and source are read, so other columns may have any
+names. Documents of equal size differ by the hash of id, text and source alone.
 """
 
 from __future__ import annotations
@@ -34,6 +36,11 @@ WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 
 
+def tie(of: str = "") -> Column:
+    """With doc_id, what names a row (of the alias ``of``): a hash of text and source."""
+    return F.xxhash64(*[F.coalesce(F.col(of + c), F.lit("\0null")) for c in ("text", "source")])
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
 
@@ -121,16 +128,16 @@ def pivotal(rows: DataFrame, groups: Sequence[str], block: int = 512, seed: int
 def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP, seed: int = 11) -> DataFrame:
     """(doc_id, tie, size, source, source_size, target, copies, taken) for every row of ``docs``.
 
-    ``tie`` is a hash of the text, which with doc_id names the row.
+    ``tie`` is a hash of text and source, which with doc_id names the row.
     """
-    rows = staged(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit("\0null"))).alias("tie"), "source", word_count(F.col("text")).alias("size")))
+    rows = staged(docs.select("doc_id", tie().alias("tie"), "source", word_count(F.col("text")).alias("size")))
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     rows = attach(rows, sources, "source")
     share = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(cap))).otherwise(0.0)
     rows = rows.withColumn("whole", F.when(F.col("size") > 0, F.floor(share)).otherwise(0).cast("long"))
     rows = staged(rows.withColumn("p", F.when(F.col("size") > 0, share - F.col("whole")).otherwise(0.0)))
     ones = pivotal(rows, ["source"], seed=seed).groupBy("doc_id", "tie").agg(F.sort_array(F.collect_list("one")).alias("ones")).alias("o")
-    # rows that are equal in id and text share the draws made for them, one each
+    # rows that are equal in id, text and source share the draws made for them, one each
     numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy("source"))).alias("r")
     both = numbered.join(ones, F.col("r.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("r.tie") == F.col("o.tie")), "left")
     copies = F.col("r.whole") + F.coalesce(F.try_element_at("o.ones", F.col("r.k")), F.lit(0))
