@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as t
 from .operators import blueprint as bp
-from .operators import diagrams, export, metrics, practice, retrieve, schedule, segment, verify
+from .operators import agent, diagrams, export, metrics, practice, retrieve, schedule, segment, verify
 from .sources import readers
 
 NOW = "2024-01-29 00:00:00"
@@ -49,13 +49,18 @@ def hit_rates(spark, d):
 
 
 def _gold(docs, bench):
-    """Documents that hold an item whole: met by the item's first five words, then checked."""
-    key = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 4), lambda i: F.array_join(F.slice(c, i, 5), " "))
-    split = lambda df: df.withColumn("w", F.split("text", " ")).where("size(w) >= 5")
-    a = split(bench).select("item_id", F.col("text").alias("item"), F.array_join(F.slice("w", 2, 4), " ").alias("k"))
-    b = split(docs).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("k"))
+    """Documents that hold an item whole: met by inner words of the item (an item of few words: by every document), then checked."""
+    words = bench.select("item_id", F.col("text").alias("item"), F.split("text", " ").alias("w"))
+    long = F.size("w") >= 6
+    # only words between spaces within the item stand whole in a document that holds it
+    a = words.where(long).select("item_id", "item", F.array_join(F.slice("w", 2, 4), " ").alias("k"))
+    d = docs.select("doc_id", "text", F.split("text", " ").alias("w"))
+    b = d.where("size(w) >= 4").select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("k"))
     met = b.join(a, "k").select("doc_id", "item_id", "item").distinct()
-    return met.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
+    held = met.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("item_id", "doc_id")
+    # short items are a stated query set against all rows; there are few of them
+    short = docs.select("doc_id", "text").join(words.where(~long).select("item_id", "item"), F.contains("text", F.col("item"))).select("item_id", "doc_id")
+    return held.union(short)
 
 
 def chunk_stats(spark, d):
@@ -138,27 +143,83 @@ def chat_window(spark, d):
 
 
 def item_error_rates(spark, d):
-    """Character error of each item's first 80 letters and digits against the next item's."""
-    (b,) = _read(spark, d, "benchmark")
-    x = b.select("item_id", F.substring(t.squash(F.col("text")), 1, 80).alias("a"))
-    y = x.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b"))
-    return x.join(y, "item_id").select("item_id", F.bround(t.error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
+    """Character error of each item's letters and digits against the next item's, over whole texts."""
+    return _error_rates(spark, d, t.squash)
 
 
 def item_text_error_rates(spark, d):
     """Character error of each item's whole text against the next item's, one space kept for what is no letter or digit."""
+    return _error_rates(spark, d, t.spaced)
+
+
+def _error_rates(spark, d, plain):
     (b,) = _read(spark, d, "benchmark")
-    x = b.select("item_id", t.spaced(F.col("text")).alias("a"))
+    x = b.select("item_id", plain(F.col("text")).alias("a"))
     y = x.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b"))
     return x.join(y, "item_id").select("item_id", F.bround(t.error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
 
 
+def hit_rates_by_parity(spark, d):
+    """Hit rates of the items overall and by parity of their ids, with hundreds of doc_ids as chapters."""
+    docs, bench = _read(spark, d, "documents", "benchmark")
+    chapter = F.floor(F.col("doc_id") / 100).alias("chapter")
+    ranked = retrieve.bm25(docs, bench, "doc_id", "item_id", 10).select("item_id", "doc_id", chapter, "rank")
+    gold = _gold(docs, bench).select("item_id", "doc_id", chapter, F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("kind"))
+    return metrics.hit_rates_by(ranked, gold, "item_id", "doc_id", "chapter", "kind")
+
+
+def label_catch_rates(spark, d):
+    """How often low quality catches what is toxic, and how often it drops what isn't."""
+    (labels,) = _read(spark, d, "labels")
+    return metrics.catch_rates(labels.select((F.col("toxic") == 1).alias("bad"), (F.col("quality") == 0).alias("dropped")), "bad", "dropped")
+
+
+def event_threshold(spark, d):
+    """The value below which dropping events catches most errors over what it drops wrongly."""
+    (e,) = _read(spark, d, "events")
+    return metrics.best_threshold(e.select("value", (F.col("event_type") == "error").alias("bad")), "value", "bad", [float(x) for x in range(0, 101, 5)])
+
+
+def leak_check(spark, d):
+    """The document that most items find first, and whether that is too often."""
+    docs, bench = _read(spark, d, "documents", "benchmark")
+    top = metrics.leak_share(retrieve.bm25(docs, bench, "doc_id", "item_id", 1), "doc_id")
+    return top.select("share", "leak")
+
+
+def event_rates(spark, d):
+    """By kind of event: rates of flags, a share of sums, a median."""
+    (e,) = _read(spark, d, "events")
+    x = e.select("event_type", (F.col("value") > 1).alias("above_one"), (F.col("user_id") % 2 == 0).alias("even_user"), F.col("event_id").alias("part"), (F.col("event_id") + F.col("user_id")).alias("whole"), "value")
+    return metrics.rates(x, "event_type", ["above_one", "even_user"], "part", "whole", "value")
+
+
+#: The calls which call_scores expects of every nation.
+EXPECTED = [{"name": "describe", "args": {"name": {"$contains": ["a"]}, "region": {"$range": [1, 3]}, "note": {"$optional": {"$contains": "x"}}}}]
+
+
+def call_scores(spark, d):
+    """A call made up of each nation's row as a reply, recovered and scored against ``EXPECTED``."""
+    (n,) = _read(spark, d, "nation")
+    body = F.concat(F.lit('{"name": "describe", "arguments": {"name": "'), "n_name", F.lit('", "region": '), F.col("n_regionkey").cast("string"), F.lit("}}"))
+    reply = F.concat(F.lit("<think>hm</think>ok <tool_call>"), body, F.lit("</tool_call>"))
+    calls = agent.text_calls(agent.strip_thinking(reply))
+    return n.select("n_nationkey", F.size(calls).cast("long").alias("calls"), agent.call_score(EXPECTED, calls).alias("s")).select("n_nationkey", "calls", "s.tools", "s.arguments")
+
+
+def refusals(spark, d):
+    """Replies of each conversation judged as answers: the mark alone refuses, later it makes a reply mixed."""
+    (c,) = _read(spark, d, "conversations")
+    r = c.select("conv_id", "turn", agent.refusal(F.col("text"), "the", F.col("turn") % 2 == 0, F.array(F.lit("a"))).alias("r"))
+    return r.select("conv_id", "turn", "r.refused", "r.mixed", "r.correct")
+
+
 def retry_schedule(spark, d):
     """Memory state and next due time of each user's questions, by event type."""
     a = _attempts(spark, d).withColumn("answered_at", F.col("due_at") - F.expr("INTERVAL 1 DAY"))
     grade = practice.rating(F.col("awarded"), F.col("most"))
     a = a.withColumn("grade", F.when(grade == "good", 3).when(grade == "hard", 2).otherwise(1))
-    return schedule.schedule(a, "question", "section").select("question", "section", "reviews", F.bround("stability", 3).alias("stability"), F.bround("difficulty", 3).alias("difficulty"))
+    return schedule.schedule(a, "question", "section", places=3).select("question", "section", "reviews", "stability", "difficulty")
 
 
 def nation_mindmap(spark, d):
@@ -205,7 +266,7 @@ def oracle_sql() -> dict[str, str]:
     f AS (SELECT question, section, k, tm, (CASE g WHEN 1 THEN {w[0]} WHEN 2 THEN {w[1]} ELSE {w[2]} END)::DOUBLE AS s, greatest(1.0::DOUBLE, least(10.0::DOUBLE, {w[4]} - exp({w[5]} * (g - 1)) + 1)) AS d FROM v WHERE k = 1
     UNION ALL SELECT question, section, k, tm, greatest(0.001::DOUBLE, CASE WHEN days < 1 THEN s * (CASE WHEN g >= 3 THEN greatest({soon}, 1.0::DOUBLE) ELSE {soon} END) WHEN g = 1 THEN {lost} ELSE {kept} END),
     greatest(1.0::DOUBLE, least(10.0::DOUBLE, {w[7]} * {easy} + (1 - {w[7]}) * (d - {w[6]} * (g - 3) * (10 - d) / 9))) FROM (SELECT v.question, v.section, v.k, v.tm, v.g, f.s, f.d, greatest(0, floor((epoch(v.tm) - epoch(f.tm)) / 86400)) AS days FROM f JOIN v ON v.question = f.question AND v.section = f.section AND v.k = f.k + 1))
-    SELECT question, section, k AS reviews, round_even(round_even(s, 4), 3) AS stability, round_even(round_even(d, 4), 3) AS difficulty FROM f QUALIFY row_number() OVER (PARTITION BY question, section ORDER BY k DESC) = 1"""
+    SELECT question, section, k AS reviews, round_even(s, 3) AS stability, round_even(d, 3) AS difficulty FROM f QUALIFY row_number() OVER (PARTITION BY question, section ORDER BY k DESC) = 1"""
     return {
         "retry_schedule": fsrs,
         "nation_mindmap": """SELECT r_regionkey, 'mindmap' || chr(10) || '  n0["' || any_value(r_name) || '"]' || string_agg(chr(10) || '    n' || i || '["' || n_name || '"]', '' ORDER BY i) AS diagram FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS i FROM nation) JOIN region ON r_regionkey = n_regionkey GROUP BY r_regionkey""",
@@ -226,10 +287,18 @@ def oracle_sql() -> dict[str, str]:
         "chapter_rollup": f"WITH {_BLUE} SELECT CASE WHEN regexp_matches(split_part(sid, '.', 1), '^[0-9]+$') THEN split_part(sid, '.', 1) ELSE sid END AS chapter, round_even(sum(share), 4) AS share FROM b GROUP BY 1",
         "label_rates": "SELECT coalesce(lang, 'all') AS lang, count(*) AS n, round_even(avg(quality), 4) AS quality, round_even(avg(toxic), 4) AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((lang), ())",
         "chat_window": "SELECT * FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 12",
-        "item_error_rates": "WITH s AS (SELECT item_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')[1:80] AS x FROM benchmark) SELECT a.item_id, round_even(least(1.0, levenshtein(a.x, b.x)::DOUBLE / greatest(length(b.x), 1)), 6) AS cer FROM s a JOIN s b ON b.item_id = a.item_id + 1",
+        "item_text_error_rates": "WITH s AS (SELECT item_id, trim(regexp_replace(translate(lower(text), '²³', '23'), '[^a-z0-9]+', ' ', 'g')) AS x FROM benchmark) SELECT a.item_id, round_even(least(1.0, levenshtein(a.x, b.x)::DOUBLE / greatest(length(b.x), 1)), 6) AS cer FROM s a JOIN s b ON b.item_id = a.item_id + 1",
+        "hit_rates_by_parity": f"WITH {_BM25}, g AS (SELECT item_id, doc_id, doc_id // 100 AS chapter, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS kind FROM benchmark b JOIN documents d ON contains(d.text, b.text)), f AS (SELECT g.item_id, any_value(g.kind) AS kind, min(bm.rank) AS r FROM g LEFT JOIN bm ON bm.item_id = g.item_id AND bm.doc_id = g.doc_id AND bm.rank <= 10 GROUP BY 1), n AS (SELECT DISTINCT g.item_id FROM g JOIN bm ON bm.item_id = g.item_id AND bm.doc_id // 100 = g.chapter AND bm.rank <= 5) SELECT coalesce(kind, 'all') AS kind, count(*) AS queries, round_even(avg(CASE WHEN r <= 1 THEN 1.0::DOUBLE ELSE 0 END), 4) AS hit_at_1, round_even(avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE ELSE 0 END), 4) AS hit_at_5, round_even(avg(CASE WHEN r <= 10 THEN 1.0::DOUBLE / r ELSE 0 END), 4) AS mrr_at_10, round_even(avg(CASE WHEN n.item_id IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 4) AS chapter_at_5 FROM f LEFT JOIN n USING (item_id) GROUP BY GROUPING SETS ((kind), ())",
+        "label_catch_rates": "SELECT round_even(avg((quality = 0)::INT::DOUBLE) FILTER (toxic = 1), 4) AS catch, round_even(avg((quality = 0)::INT::DOUBLE) FILTER (toxic = 0), 4) AS false_drop FROM labels",
+        "event_threshold": "WITH t AS (SELECT x::DOUBLE AS threshold FROM range(0, 101, 5) r(x)), c AS (SELECT threshold, round_even(avg((value < threshold)::INT::DOUBLE) FILTER (event_type = 'error'), 4) AS catch, round_even(avg((value < threshold)::INT::DOUBLE) FILTER (event_type <> 'error'), 4) AS false_drop FROM events, t GROUP BY threshold) SELECT threshold, catch, false_drop FROM c ORDER BY catch - false_drop DESC, threshold LIMIT 1",
+        "leak_check": f"WITH {_BM25}, n AS (SELECT doc_id, count(*) AS n FROM bm WHERE rank = 1 GROUP BY doc_id) SELECT round_even(max(n) / sum(n)::DOUBLE, 4) AS share, max(n) / sum(n)::DOUBLE > 0.2 AS leak FROM n",
+        "event_rates": "SELECT event_type, round_even(avg((value > 1)::INT::DOUBLE), 4) AS above_one, round_even(avg((user_id % 2 = 0)::INT::DOUBLE), 4) AS even_user, round_even(sum(event_id)::DOUBLE / sum(event_id + user_id)::DOUBLE, 4) AS share, round_even(quantile_cont(value, 0.5), 4) AS median FROM events GROUP BY event_type",
+        "call_scores": "SELECT n_nationkey, 1::BIGINT AS calls, true AS tools, contains(lower(n_name), 'a') AND n_regionkey BETWEEN 1 AND 3 AS arguments FROM nation",
+        "refusals": "WITH s AS (SELECT conv_id, turn, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS x FROM conversations), r AS (SELECT *, starts_with(x, 'the') AS refused, NOT starts_with(x, 'the') AND contains(x, 'the') AS mixed FROM s) SELECT conv_id, turn, refused, mixed, CASE WHEN turn % 2 = 0 THEN NOT refused AND NOT mixed AND contains(x, 'a') ELSE refused END AS correct FROM r",
+        "item_error_rates": "WITH s AS (SELECT item_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS x FROM benchmark) SELECT a.item_id, round_even(least(1.0, levenshtein(a.x, b.x)::DOUBLE / greatest(length(b.x), 1)), 6) AS cer FROM s a JOIN s b ON b.item_id = a.item_id + 1",
     }
 
 
 def queries():
-    names = (content_ids, search_bm25, search_cosine, search_fused, hit_rates, chunk_stats, sentence_counts, source_support, copied_items, latest_attempts, due_retries, section_mastery, weak_topics, exam_blueprint, chapter_rollup, label_rates, chat_window, item_error_rates, item_text_error_rates, retry_schedule, nation_mindmap, deck_ids)
+    names = (content_ids, search_bm25, search_cosine, search_fused, hit_rates, chunk_stats, sentence_counts, source_support, copied_items, latest_attempts, due_retries, section_mastery, weak_topics, exam_blueprint, chapter_rollup, label_rates, chat_window, item_error_rates, item_text_error_rates, hit_rates_by_parity, label_catch_rates, event_threshold, leak_check, event_rates, call_scores, refusals, retry_schedule, nation_mindmap, deck_ids)
     return {f.__name__: f for f in names}

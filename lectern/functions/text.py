@@ -6,7 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that say nothing about a sentence's content.
-STOPWORDS = ("about also because been being between both could does each from have here into itself just like more most only other over same should some such than that their them then there these they this those through under very what when where which while will with would your").split()
+STOPWORDS = (
+    "that this from into their there which when where what while have been being each only also than then "
+    "them they over under about after before most more less such other some will would should could does "
+    "your with these those very used uses using make made same both between within without because"
+).split()
 STEM = 6
 WORD = r"[a-z][a-z-]{3,}"
 
@@ -55,8 +59,9 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def sentences(c: Column) -> Column:
-    return F.split(c, r"(?<=[.!?])\s+(?=[A-Z0-9(])")
+def sentences(c: Column, stars: bool = False) -> Column:
+    """Sentences; with ``stars`` (Markdown) one may begin with an asterisk too."""
+    return F.split(c, r"(?<=[.!?])\s+(?=[A-Z0-9*(])" if stars else r"(?<=[.!?])\s+(?=[A-Z0-9(])")
 
 
 def content_id(content: Column) -> Column:

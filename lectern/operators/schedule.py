@@ -63,7 +63,7 @@ def memory(reviews: Column) -> Column:
     return F.aggregate(F.array_sort(reviews), start, step)
 
 
-def schedule(attempts: DataFrame, *key: str) -> DataFrame:
+def schedule(attempts: DataFrame, *key: str, places: int = 4) -> DataFrame:
     """(key..., reviews, stability, difficulty, due_at) of ``attempts`` (key..., id, answered_at, grade).
 
     One learner's history of one question is a sequence by nature and is folded whole:
@@ -73,4 +73,4 @@ def schedule(attempts: DataFrame, *key: str) -> DataFrame:
     s = a.groupBy(*key).agg(F.collect_list(F.struct(F.col("answered_at").cast("timestamp").alias("at"), "id", F.col("grade").cast("int").alias("grade"))).alias("x"))
     s = s.select(*key, F.size("x").cast("long").alias("reviews"), memory(F.col("x")).alias("m"))
     due = F.col("m.last") + F.make_dt_interval(interval_days(F.col("m.stability")))
-    return s.select(*key, "reviews", F.bround("m.stability", 4).alias("stability"), F.bround("m.difficulty", 4).alias("difficulty"), due.alias("due_at"))
+    return s.select(*key, "reviews", F.bround("m.stability", places).alias("stability"), F.bround("m.difficulty", places).alias("difficulty"), due.alias("due_at"))

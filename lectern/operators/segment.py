@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences
+from ..functions.text import sentences, strip_space
 
 LONGEST, TARGET = 1800, 1200
 HEADING = r"^\d{1,2}(?:\.\d{1,2}){0,3}\.?\s+[A-Z].{2,90}$"
-EXERCISES = r"(?i)^(?:exercises?|problems?|review questions|conceptual questions|additional problems|practice questions)\b"
+# Titles of exercise sections, and the marks of a list of exercises within a section.
+EXERCISES = r"(?i)^(?:(?:review|critical thinking|interactive link|conceptual)\s+questions|(?:additional\s+|challenge\s+)?problems)$"
+TAIL = r"(?:^|(?<=[.?!)\]”\"'])\s+|\n\n)(?:Conceptual Questions|Review Questions|Critical Thinking Questions|Interactive Link Questions|Problems|Additional Problems|Challenge Problems)(?=\s*(?:$|\d{1,2}\.\d{1,2}\s|\d{1,3} \. ))"
 
 
 def heading_level(line: Column) -> Column:
@@ -21,7 +23,21 @@ def heading_level(line: Column) -> Column:
 
 
 def is_exercise(title: Column) -> Column:
-    return title.rlike(EXERCISES)
+    return strip_space(title).rlike(EXERCISES)
+
+
+def split_tail(text: Column) -> Column:
+    """struct(teaching, exercises): a section's text before and from the first list of exercises in it, '' if there is none."""
+    at = F.regexp_instr(text, F.lit(TAIL))
+    teaching = F.when(at == 0, text).otherwise(F.regexp_replace(F.substring(text, F.lit(1), at - 1), r"(?U)\s+$", ""))
+    return F.struct(teaching.alias("teaching"), F.when(at == 0, "").otherwise(F.regexp_replace(F.substring(text, at, F.length(text)), r"(?U)^\s+", "")).alias("exercises"))
+
+
+def section_chunks(sections: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., ord, chunk, is_exercise) of ``sections`` (title, text): a section of exercises whole, any other in its two parts."""
+    halves = F.when(is_exercise(F.coalesce("title", F.lit(""))), F.array(F.struct(F.lit(True).alias("is_exercise"), F.col("text").alias("t")))).otherwise(F.transform(F.array(split_tail(F.col("text"))), lambda x: F.array(F.struct(F.lit(False).alias("is_exercise"), x["teaching"].alias("t")), F.struct(F.lit(True).alias("is_exercise"), x["exercises"].alias("t"))))[0])
+    parts = F.flatten(F.transform(halves, lambda h: F.transform(pack(pieces(h["t"])), lambda c: F.struct(c.alias("chunk"), h["is_exercise"].alias("is_exercise")))))
+    return sections.select(*keep, F.posexplode(parts).alias("ord", "x")).select(*keep, "ord", "x.chunk", "x.is_exercise")
 
 
 def pieces(text: Column) -> Column:

@@ -20,7 +20,7 @@ def verify_notes(notes: DataFrame) -> DataFrame:
     lines = lines.withColumn("fence", F.col("line").rlike(r"^\s*```")).withColumn("inside", F.sum(F.col("fence").cast("int")).over(w) % 2 == 1)
     whole = F.col("fence") | F.col("inside") | F.col("line").rlike(r"^\s*(?:#|\||$)")
     lines = lines.withColumn("bullet", F.regexp_extract("line", r"^(\s*(?:[-*+]|\d+\.)\s+)", 1))
-    said = F.filter(sentences(F.expr("substring(line, length(bullet) + 1)")), lambda s: s != "")
+    said = F.filter(sentences(F.expr("substring(line, length(bullet) + 1)"), stars=True), lambda s: s != "")
     good = F.filter(said, lambda s: support(content_stems(s), F.col("stems")) >= LEAST_SUPPORT)
     lines = lines.withColumn("said", F.when(whole, F.array().cast("array<string>")).otherwise(said)).withColumn("good", F.when(whole, F.array().cast("array<string>")).otherwise(good))
     text = F.when(whole, F.col("line")).when(F.size("good") > 0, F.concat("bullet", F.array_join("good", " ")))
@@ -31,15 +31,23 @@ def verify_notes(notes: DataFrame) -> DataFrame:
     )
 
 
-def question_faults(question: Column, answer: Column, marks: Column, points: Column, source: Column, nearest: Column, numeric: Column) -> Column:
-    """Reasons against a question, in a fixed order."""
-    stems = content_stems(F.concat_ws(" ", question, answer))
+LEAST_ANSWER = 3
+
+
+def question_faults(answer: Column, marks: Column, wanted: Column, source: Column, nearest: Column, numeric: Column, contradicts: Column | None = None) -> Column:
+    """Reasons against a question, in a fixed order; ``marks`` are held against the marks asked for.
+
+    ``contradicts`` tells whether the answer contradicts a formula of the section (a seam: none is checked without it).
+    """
+    stems = content_stems(answer)
+    thin = F.size(stems) < LEAST_ANSWER
     return F.array_compact(
         F.array(
-            F.when(support(stems, content_stems(source)) < QUESTION_SUPPORT, "not supported by the section"),
-            F.when(~numeric & (F.size(content_stems(answer)) < 3), "answer too thin"),
+            F.when(~thin & (support(stems, content_stems(source)) < QUESTION_SUPPORT), "not supported by the section"),
+            F.when(~numeric & thin, "answer too thin"),
+            F.when(contradicts if contradicts is not None else F.lit(False), "contradicts a formula"),
             F.when(nearest >= COPY, "too like another question"),
-            F.when(marks != F.size(points), "marks do not match the points"),
+            F.when(~marks.eqNullSafe(wanted), "marks are not those asked for"),
         )
     )
 
