@@ -114,6 +114,7 @@ def unit_table(docs: DataFrame, path: str, flush: int = 120_000) -> DataFrame:
 def token_counts(docs: DataFrame, tokenizer: str, head: int = 120_000, head_chars: int = 48) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for every row of ``docs``; ``tokenizer`` is the path of a vocabulary file."""
     spark = docs.sparkSession
+    special_strings(tokenizer)  # raises here for files of other kinds
     table = unit_table(docs, tokenizer)
     top = threshold(table.where(F.length("unit") <= head_chars), "uses", head)
     known = spark.sparkContext.broadcast({r.unit: r.pieces for r in top.select("unit", "pieces").collect()})
