@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import formulas as fm
 from .functions import text as t
 from .operators import blueprint as bp
 from .operators import agent, diagrams, export, metrics, practice, retrieve, schedule, segment, verify
@@ -42,6 +43,39 @@ def search_fused(spark, d):
     return retrieve.fuse([words, retrieve.best(shared, "item_id", "doc_id", 20)], "item_id", "doc_id", 5)
 
 
+def search_hybrid(spark, d):
+    """Keyword and vector rankings of whole documents, fused; vectors are made of the tokens."""
+    docs, bench = _read(spark, d, "documents", "benchmark")
+    return retrieve.search(docs.select("doc_id", "text"), bench, "doc_id", "item_id", 5, stem=False)
+
+
+def search_stemmed(spark, d):
+    """Items against documents by Porter stems without accents."""
+    docs, bench = _read(spark, d, "documents", "benchmark")
+    return retrieve.bm25(docs, bench, "doc_id", "item_id", 5, stem=True)
+
+
+def item_blueprint(spark, d):
+    """Items as questions, matched to sections (hundreds of documents) by search, two sections each."""
+    docs, bench = _read(spark, d, "documents", "benchmark")
+    hits = retrieve.bm25(docs, bench, "doc_id", "item_id", bp.DEPTH)
+    hits = hits.select("item_id", F.lit("d").alias("doc_id"), F.floor(F.col("doc_id") / 100).cast("string").alias("sid"), "rank")
+    asked = bench.select("item_id", (F.col("item_id") % 11).alias("marks"), (2016 + F.col("item_id") % 5).cast("int").alias("year"))
+    return bp.blueprint(bp.matched(asked, hits, "item_id", (2.0, 1.0))).select("sid", "weight", "share", "marks", "questions")
+
+
+def formula_values(spark, d):
+    """Formulas made of each part's key: whether values and relations are the same, and whether relations contradict."""
+    (p,) = _read(spark, d, "part")
+    k, n = F.col("p_partkey") + 1, F.col("p_partkey") % 100
+    tenths = F.floor(n * 10 / 8)
+    written = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    value = F.concat(F.lit("\\frac{"), n.cast("string"), F.lit("}{8}"))
+    relation = F.concat(F.lit("y = "), k.cast("string"), F.lit(" x z"))
+    solved = F.concat(F.lit("x = \\frac{y}{"), (k + k % 2).cast("string"), F.lit(" z}"))
+    return p.select("p_partkey", fm.same_formula(value, written).alias("same_value"), fm.same_formula(relation, solved).alias("same_relation"), fm.contradicting(relation, solved).alias("contrary"))
+
+
 def hit_rates(spark, d):
     docs, bench = _read(spark, d, "documents", "benchmark")
     gold = _gold(docs, bench)
@@ -274,6 +308,20 @@ def oracle_sql() -> dict[str, str]:
         "content_ids": "SELECT doc_id, substr(sha256(text), 1, 16) AS content_id, length(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'))::BIGINT AS squashed, length(text)::BIGINT AS chars FROM documents",
         "search_bm25": f"WITH {_BM25} SELECT item_id, doc_id, score, rank FROM bm WHERE rank <= 5",
         "search_cosine": "WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round_even(round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10",
+        "search_hybrid": f"""WITH {_BM25}, w AS (SELECT 'd' AS kind, doc_id AS id, unnest({_TOK}) AS w FROM documents UNION ALL SELECT 'q', item_id, unnest({_TOK}) FROM benchmark),
+    c AS (SELECT kind, id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS place, count(*)::DOUBLE AS n FROM w GROUP BY ALL), u AS (SELECT kind, id, place, n / sqrt(sum(n * n) OVER (PARTITION BY kind, id)) AS n FROM c),
+    cs AS (SELECT q.id AS item_id, d.id AS doc_id, round_even(round(sum(q.n * d.n), 9), 6) AS score FROM u q JOIN u d ON q.kind = 'q' AND d.kind = 'd' AND q.place = d.place GROUP BY ALL),
+    every AS (SELECT id AS item_id FROM u WHERE kind = 'q' GROUP BY id), alldocs AS (SELECT id AS doc_id FROM u WHERE kind = 'd' GROUP BY id),
+    cz AS (SELECT item_id, doc_id, coalesce(score, 0) AS score FROM every CROSS JOIN alldocs LEFT JOIN cs USING (item_id, doc_id)),
+    cr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM cz), un AS (SELECT item_id, doc_id, rank FROM bm WHERE rank <= 50 UNION ALL SELECT item_id, doc_id, rank FROM cr WHERE rank <= 50),
+    f AS (SELECT item_id, doc_id, round_even(sum(1.0::DOUBLE / (rank + 60)), 9) AS score FROM un GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 5""",
+        "item_blueprint": f"""WITH {_BM25}, h AS (SELECT item_id, (doc_id // 100)::VARCHAR AS sid, min(rank) AS rank FROM bm WHERE rank <= 10 GROUP BY ALL),
+    o AS (SELECT item_id, sid, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS rank FROM h),
+    m AS (SELECT o.*, item_id % 11 AS marks, 2016 + item_id % 5 AS year, CASE rank WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS score FROM o WHERE rank <= 2),
+    w AS (SELECT *, (CASE WHEN marks = 0 THEN 1 ELSE marks END) * (1 + 0.5 * coalesce((year - min(year) OVER ())::DOUBLE / nullif(max(year) OVER () - min(year) OVER (), 0), 0)) * score / sum(score) OVER (PARTITION BY item_id) AS part FROM m),
+    s AS (SELECT sid, sum(part) AS weight, sum(CASE WHEN rank = 1 THEN marks ELSE 0 END)::BIGINT AS marks, count(*) FILTER (rank = 1) AS questions FROM w GROUP BY sid)
+    SELECT sid, round_even(weight, 4) AS weight, round_even(weight / sum(weight) OVER (), 4) AS share, marks, questions FROM s""",
+        "formula_values": "SELECT p_partkey, abs((p_partkey % 100) / 8.0 - floor((p_partkey % 100) * 10 / 8) / 10.0) < 1e-6 * greatest(1, (p_partkey % 100) / 8.0) AS same_value, p_partkey % 2 = 1 AS same_relation, p_partkey % 2 = 0 AS contrary FROM part",
         "search_fused": f"WITH {_BM25}, ds AS (SELECT doc_id, unnest({_STEMS}) AS stem FROM documents), qs AS (SELECT item_id, unnest({_STEMS}) AS stem FROM benchmark), sh AS (SELECT item_id, doc_id, count(*) AS score FROM qs JOIN ds USING (stem) GROUP BY ALL), sr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sh), u AS (SELECT item_id, doc_id, rank FROM bm WHERE rank <= 20 UNION ALL SELECT item_id, doc_id, rank FROM sr WHERE rank <= 20), f AS (SELECT item_id, doc_id, round_even(sum(1.0::DOUBLE / (rank + 60)), 9) AS score FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT * FROM r WHERE rank <= 5",
         "hit_rates": f"WITH {_BM25}, g AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), f AS (SELECT g.item_id, min(bm.rank) AS r FROM g LEFT JOIN bm ON bm.item_id = g.item_id AND bm.doc_id = g.doc_id AND bm.rank <= 10 GROUP BY 1) SELECT count(*) AS queries, round_even(avg(CASE WHEN r <= 1 THEN 1.0::DOUBLE ELSE 0 END), 4) AS hit_at_1, round_even(avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE ELSE 0 END), 4) AS hit_at_5, round_even(avg(CASE WHEN r <= 10 THEN 1.0::DOUBLE / r ELSE 0 END), 4) AS mrr_at_10 FROM f",
         "sentence_counts": r"SELECT doc_id, len(string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9(])', '\1' || chr(1) || '\2', 'g'), chr(1)))::BIGINT AS sentences FROM documents",
@@ -300,5 +348,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def queries():
-    names = (content_ids, search_bm25, search_cosine, search_fused, hit_rates, chunk_stats, sentence_counts, source_support, copied_items, latest_attempts, due_retries, section_mastery, weak_topics, exam_blueprint, chapter_rollup, label_rates, chat_window, item_error_rates, item_text_error_rates, hit_rates_by_parity, label_catch_rates, event_threshold, leak_check, event_rates, call_scores, refusals, retry_schedule, nation_mindmap, deck_ids)
+    names = (content_ids, search_bm25, search_cosine, search_fused, search_hybrid, search_stemmed, item_blueprint, formula_values, hit_rates, chunk_stats, sentence_counts, source_support, copied_items, latest_attempts, due_retries, section_mastery, weak_topics, exam_blueprint, chapter_rollup, label_rates, chat_window, item_error_rates, item_text_error_rates, hit_rates_by_parity, label_catch_rates, event_threshold, leak_check, event_rates, call_scores, refusals, retry_schedule, nation_mindmap, deck_ids)
     return {f.__name__: f for f in names}

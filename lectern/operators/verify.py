@@ -5,24 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.formulas import consistent_with, each_consistent, relations_in
 from ..functions.text import content_stems, jaccard, sentences, strip_space, support
 
 LEAST_SUPPORT, QUESTION_SUPPORT, COPY = 0.5, 0.6, 0.7
 
 
 def verify_notes(notes: DataFrame) -> DataFrame:
-    """(id, kept, dropped, markdown) of ``notes`` (id, markdown, source): unsupported sentences go.
+    """(id, kept, dropped, markdown) of ``notes`` (id, markdown, source): sentences go that are unsupported or contradict a formula of the source.
 
-    Fenced blocks, headings, tables and blank lines stay; a bullet without a sentence left goes whole.
+    Formulas are read once a note, and only of lines with an equals sign. Fenced blocks, headings, tables and blank lines stay; a bullet without a sentence left goes whole.
     """
     w = Window.partitionBy("id").orderBy("i")
-    lines = notes.select("id", content_stems(F.col("source")).alias("stems"), F.posexplode(F.split("markdown", "\n")).alias("i", "line"))
+    notes = notes.withColumn("relations", relations_in(F.when(F.contains("source", F.lit("=")), F.col("source"))))
+    lines = notes.select("id", content_stems(F.col("source")).alias("stems"), "relations", F.posexplode(F.split("markdown", "\n")).alias("i", "line"))
     lines = lines.withColumn("fence", F.col("line").rlike(r"^\s*```")).withColumn("inside", F.sum(F.col("fence").cast("int")).over(w) % 2 == 1)
     whole = F.col("fence") | F.col("inside") | F.col("line").rlike(r"^\s*(?:#|\||$)")
     lines = lines.withColumn("bullet", F.regexp_extract("line", r"^(\s*(?:[-*+]|\d+\.)\s+)", 1))
     said = F.filter(sentences(F.expr("substring(line, length(bullet) + 1)"), stars=True), lambda s: s != "")
-    good = F.filter(said, lambda s: support(content_stems(s), F.col("stems")) >= LEAST_SUPPORT)
-    lines = lines.withColumn("said", F.when(whole, F.array().cast("array<string>")).otherwise(said)).withColumn("good", F.when(whole, F.array().cast("array<string>")).otherwise(good))
+    lines = lines.withColumn("said", F.when(whole, F.array().cast("array<string>")).otherwise(said))
+    lines = lines.withColumn("agrees", each_consistent(F.when(F.contains("line", F.lit("=")) & (F.size("relations") > 0), F.col("said")), F.col("relations")))
+    good = F.filter("said", lambda s, i: (support(content_stems(s), F.col("stems")) >= LEAST_SUPPORT) & F.coalesce(F.get("agrees", i), F.lit(True)))
+    lines = lines.withColumn("good", good)
     text = F.when(whole, F.col("line")).when(F.size("good") > 0, F.concat("bullet", F.array_join("good", " ")))
     return lines.groupBy("id").agg(
         F.sum(F.size("good")).alias("kept"),
@@ -37,7 +41,7 @@ LEAST_ANSWER = 3
 def question_faults(answer: Column, marks: Column, wanted: Column, source: Column, nearest: Column, numeric: Column, contradicts: Column | None = None) -> Column:
     """Reasons against a question, in a fixed order; ``marks`` are held against the marks asked for.
 
-    ``contradicts`` tells whether the answer contradicts a formula of the section (a seam: none is checked without it).
+    ``contradicts`` tells whether the answer contradicts a formula of the section, as ``formula_fault`` finds it; none is checked without it.
     """
     stems = content_stems(answer)
     thin = F.size(stems) < LEAST_ANSWER
@@ -52,6 +56,12 @@ def question_faults(answer: Column, marks: Column, wanted: Column, source: Colum
     )
 
 
+def formula_fault(answer: Column, source: Column) -> Column:
+    """Whether a relation in the answer contradicts one of its section without matching another; false without formulas."""
+    equals = lambda c: F.when(F.contains(c, F.lit("=")), c)
+    return F.coalesce(~consistent_with(equals(answer), relations_in(equals(source))), F.lit(False))
+
+
 def nearest_copy(questions: DataFrame, existing: DataFrame, key: str, other: str, by: str) -> DataFrame:
     """(key, nearest): the largest Jaccard similarity of stems with a question of the same section.
 
