@@ -113,3 +113,28 @@ def formula_sheet(title: Column, formulas: Column) -> Column:
 
 def glossary(terms: Column) -> Column:
     return F.array_join(F.transform(terms, lambda t: F.concat(F.lit("- **"), cell(t["term"]), F.lit("** — "), cell(t["definition"]))), "\n")
+
+
+DRAWN = ("flowchart", "mindmap", "timeline")
+
+
+def problems(kind: Column, text: Column) -> Column:
+    """What would stop a diagram or table from being drawn, as texts; none if it is sound. Names in labels are no nodes."""
+    lines = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
+    drawn, flow = kind.isin(*DRAWN), kind == "flowchart"
+    named = F.regexp_extract_all(text, F.lit(r"\b(n\d+)\["), F.lit(1))
+    lost = F.array_sort(F.array_except(F.regexp_extract_all(F.regexp_replace(text, '"[^"\n]*"', ""), F.lit(r"\b(n\d+)\b"), F.lit(1)), named))
+    count = lambda c, what: F.length(c) - F.length(F.replace(c, F.lit(what), F.lit("")))
+    uneven = F.transform(lines, lambda x, i: F.when((i > 0) & ((count(x, "[") != count(x, "]")) | (count(x, '"') % 2 == 1)), F.concat(F.lit("unbalanced brackets or quotes on line "), (i + 1).cast("string"))))
+    rows = F.filter(lines, lambda x: F.startswith(x, F.lit("| ")))
+    width = lambda x: F.size(F.split(x, r" \| "))
+    ragged = F.size(F.filter(rows, lambda x: width(F.replace(x, F.lit("\\|"), F.lit(""))) != width(F.get(rows, F.lit(0)))))
+    faults = F.concat(
+        F.array(
+            F.when(drawn & ~F.coalesce(F.get(lines, F.lit(0)), F.lit("")).rlike("^(?:" + "|".join(DRAWN) + ")"), "unknown diagram type"),
+            F.when(flow & (F.size(lost) > 0), F.concat(F.lit("undeclared nodes: ['"), F.array_join(lost, "', '"), F.lit("']"))),
+        ),
+        F.when(drawn, uneven).otherwise(F.array().cast("array<string>")),
+        F.array(F.when(flow & (F.size(lines) < 2), "empty flowchart"), F.when(~drawn & (ragged > 0), F.concat(ragged.cast("string"), F.lit(" table row(s) with the wrong number of cells")))),
+    )
+    return F.array_compact(faults)

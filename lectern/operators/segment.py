@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences, strip_space
+from ..functions.text import sentences, squash, strip_space
 
 LONGEST, TARGET = 1800, 1200
 HEADING = r"^\d{1,2}(?:\.\d{1,2}){0,3}\.?\s+[A-Z].{2,90}$"
@@ -96,3 +96,45 @@ def sections(parts: DataFrame) -> DataFrame:
     above = F.array_compact(F.array(*[F.expr(f"CASE WHEN level > {k} THEN last(CASE WHEN level <= {k} THEN named_struct('level', level, 'head', head, 'title', title) END, true) OVER (PARTITION BY doc_id ORDER BY head ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END") for k in (1, 2, 3)]))
     path = F.transform(F.filter(F.array_distinct(above), lambda x: x["title"].isNotNull()), lambda x: x["title"])
     return s.withColumn("path", path).select("doc_id", "sid", F.col("head").cast("int").alias("ord"), "title", "level", "path", "text")
+
+
+def strip_title(text: Column, title: Column) -> Column:
+    """Text without the title before it, whatever stands between its letters and digits; other texts stay."""
+    key = squash(title)
+    between = "[^A-Za-z0-9]*"
+    pattern = F.concat(F.lit(f"(?i)^{between}"), F.regexp_replace(key, r"(.)(?=.)", f"$1{between}"), F.lit(r"[ \t\n:.\-–—]*"))
+    return F.when(key == "", text).otherwise(F.regexp_replace(text, pattern, F.lit("")))
+
+
+TOC = "array<struct<title:string,level:int,page:int>>"
+SLACK = 12
+
+
+def bookmark_anchors(blocks: Column, toc: Column) -> Column:
+    """array<struct<at, title, level>>: the block (from 0) that each bookmark points to, in one forward fold.
+
+    Of the blocks of its page (of any page without one) from the last anchor on, the first that
+    begins with the title, else the first; a bookmark without such blocks is left out.
+    """
+    start = F.struct(F.lit(0).alias("from"), F.array().cast("array<struct<at:int,title:string,level:int>>").alias("found"))
+    heads = F.transform(blocks, lambda b, i: F.struct(i.alias("i"), squash(b["text"]).alias("text"), b["page"].alias("page")))
+
+    def step(a: Column, e: Column) -> Column:
+        key = squash(e["title"])
+        here = F.filter(heads, lambda b: (b["i"] >= a["from"]) & (e["page"].isNull() | b["page"].eqNullSafe(e["page"])))
+        titled = F.filter(here, lambda b: (key != "") & F.contains(F.substring(b["text"], F.lit(1), F.length(key) + SLACK), key))
+        at = F.coalesce(F.get(titled, F.lit(0))["i"], F.get(here, F.lit(0))["i"])
+        anchor = F.array(F.struct(at.alias("at"), strip_space(e["title"]).alias("title"), e["level"].alias("level")))
+        return F.struct(F.coalesce(at, a["from"]).alias("from"), F.when(at.isNull(), a["found"]).otherwise(F.concat(a["found"], anchor)).alias("found"))
+
+    return F.aggregate(F.coalesce(toc.cast(TOC), F.array().cast(TOC)), start, step, lambda a: a["found"])
+
+
+def bookmark_sections(docs: DataFrame) -> DataFrame:
+    """``sections`` of ``docs`` (doc_id, blocks array<struct<text,page>>, toc), cut at the bookmarks; titles run into a block are taken off it."""
+    d = docs.select("doc_id", "blocks", bookmark_anchors(F.col("blocks"), F.col("toc")).alias("anchors"))
+    step = F.size("anchors") + 1
+    last = lambda i: F.element_at(F.filter("anchors", lambda a: a["at"] == i), -1)
+    body = F.transform("blocks", lambda b, i: F.struct((i * step + F.size("anchors")).alias("ord"), F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("level"), F.when(F.exists("anchors", lambda a: a["at"] == i), strip_title(b["text"], last(i)["title"])).otherwise(b["text"]).alias("text")))
+    heads = F.transform("anchors", lambda a, j: F.struct((a["at"] * step + j).alias("ord"), F.lit("heading").alias("kind"), a["level"].alias("level"), a["title"].alias("text")))
+    return sections(d.select("doc_id", F.inline(F.concat(body, heads))))
