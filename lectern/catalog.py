@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import formulas as fm
 from .functions import text as t
 from .operators import blueprint as bp
-from .operators import agent, diagrams, export, metrics, practice, retrieve, schedule, segment, verify
+from .operators import agent, diagrams, export, html, metrics, pages, practice, retrieve, schedule, segment, tools, verify, writing
 from .sources import readers
 
 NOW = "2024-01-29 00:00:00"
@@ -268,6 +268,60 @@ def deck_ids(spark, d):
     return n.select("n_nationkey", export.stable_id(F.col("n_name")).alias("deck_id"), export.safe_name(F.concat(F.lit("Ch. "), "n_name")).alias("file"))
 
 
+def tool_faults(spark, d):
+    """A call for questions made of each part's size: too many, or of an unknown kind."""
+    (p,) = _read(spark, d, "part")
+    size = F.col("p_size").cast("string")
+    call = F.concat(F.lit('{"topic": "t", "count": '), size, F.lit(', "marks": 2, "question_type": "'), F.when(F.col("p_partkey") % 2 == 0, "short").otherwise("odd"), F.lit('"}'))
+    return p.select("p_partkey", tools.call_fault(F.lit("generate_questions"), call).alias("fault"))
+
+
+def diagram_problems(spark, d):
+    """A flowchart for each nation with an arrow to the node of its region, which stands in it only for the first three."""
+    (n,) = _read(spark, d, "nation")
+    text = F.concat(F.lit('flowchart TD\n    n0["'), "n_name", F.lit('"]\n    n1["x"]\n    n2["n7"]\n    n0 --> n'), F.col("n_regionkey").cast("string"))
+    return n.select("n_nationkey", F.array_join(diagrams.problems(F.lit("flowchart"), text), "; ").alias("problems"))
+
+
+def calculations(spark, d):
+    (p,) = _read(spark, d, "part")
+    e = F.concat(F.lit("("), F.col("p_partkey").cast("string"), F.lit(" + 2) * "), F.col("p_size").cast("string"), F.lit(" - 2**3"))
+    return p.select("p_partkey", tools.calculated(e).alias("value"))
+
+
+def question_shares(spark, d):
+    """337 questions spread over the nations as sections, at most ten a call."""
+    (n,) = _read(spark, d, "nation")
+    return writing.question_calls(n.select(F.col("n_name").alias("sid"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("text")), 337).select("sid", "call", "wanted")
+
+
+def marked_answers(spark, d):
+    """An answer for each customer, right as a formula for even keys; the model of this query finds the second point in every answer."""
+    (c,) = _read(spark, d, "customer")
+    k = F.col("c_custkey") + 2
+    odd = (F.col("c_custkey") % 2).cast("string")
+    answer = F.concat(F.lit("y = "), k.cast("string"), F.lit(" x + "), odd)
+    point = F.concat(F.lit("States $x = y/"), k.cast("string"), F.lit("$"))
+    rows = c.select("c_custkey", F.lit("q").alias("question"), F.array(point, F.lit("names units"), F.lit("draws it")).alias("marking_points"), answer.alias("answer"), F.lit(6).alias("most"))
+    marked = writing.grade_answers(rows, lambda p: F.lit('{"points_met": [false, true, false], "feedback": "ok"}'), "c_custkey")
+    return marked.select("c_custkey", "awarded", F.size("missing").cast("long").alias("missing"), F.get("by_formula", F.lit(0)).alias("formula"))
+
+
+def cleaned_readings(spark, d):
+    """Readings made of the parts' names: spaces only where LaTeX needs them, and whether they may be formulas."""
+    (p,) = _read(spark, d, "part")
+    raw = F.concat(F.lit(" \\text { "), F.replace("p_name", F.lit("#"), F.lit("")), F.lit(" }  \\bf v "))
+    return p.select("p_partkey", pages.clean_latex(raw).alias("latex"), pages.plausible(pages.clean_latex(raw)).alias("plausible"))
+
+
+def note_pages(spark, d):
+    """The nations of each region as sections of one page of notes."""
+    (n,) = _read(spark, d, "nation")
+    text = F.concat(F.lit("# "), "n_name", F.lit("\n\n**a** < b"))
+    notes = n.select("n_regionkey", F.col("n_nationkey").alias("ord"), F.col("n_nationkey").cast("string").alias("sid"), F.col("n_name").alias("title"), text.alias("markdown"), F.lit(None).cast("array<struct<format:string,text:string>>").alias("visuals"))
+    return html.to_html(notes, "n_regionkey", title="Nations").select("n_regionkey", F.regexp_extract("html", "(?s)<main>(.*)</main>", 1).alias("main"))
+
+
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 _STOP = ", ".join(f"'{w}'" for w in t.STOPWORDS)
 _CLEAN = r"regexp_replace(regexp_replace(text, '(?s)\$\$.*?\$\$|\$[^$]*\$|\\\(.*?\\\)|\\\[.*?\\\]', ' ', 'g'), '(?i)\(\s*\d+\s*marks?[^)]*\)', ' ', 'g')"
@@ -322,6 +376,16 @@ def oracle_sql() -> dict[str, str]:
     s AS (SELECT sid, sum(part) AS weight, sum(CASE WHEN rank = 1 THEN marks ELSE 0 END)::BIGINT AS marks, count(*) FILTER (rank = 1) AS questions FROM w GROUP BY sid)
     SELECT sid, round_even(weight, 4) AS weight, round_even(weight / sum(weight) OVER (), 4) AS share, marks, questions FROM s""",
         "formula_values": "SELECT p_partkey, abs((p_partkey % 100) / 8.0 - floor((p_partkey % 100) * 10 / 8) / 10.0) < 1e-6 * greatest(1, (p_partkey % 100) / 8.0) AS same_value, p_partkey % 2 = 1 AS same_relation, p_partkey % 2 = 0 AS contrary FROM part",
+        "tool_faults": """SELECT p_partkey, nullif(concat_ws('; ', CASE WHEN p_size NOT BETWEEN 1 AND 20 THEN 'count: a whole number from 1 to 20 wanted' END,
+    CASE WHEN p_partkey % 2 = 1 THEN 'question_type: one of mcq, short, long, numerical, diagram, case_study' END), '') AS fault FROM part""",
+        "diagram_problems": "SELECT n_nationkey, CASE WHEN n_regionkey > 2 THEN 'undeclared nodes: [' || chr(39) || 'n' || n_regionkey || chr(39) || ']' ELSE '' END AS problems FROM nation",
+        "calculations": "SELECT p_partkey, ((p_partkey + 2) * p_size - 8)::DOUBLE AS value FROM part",
+        "question_shares": """WITH n AS (SELECT n_name AS sid, row_number() OVER (ORDER BY n_nationkey, n_name) AS i, count(*) OVER () AS n FROM nation), s AS (SELECT sid, 337 // n + (i <= 337 % n)::INT AS share FROM n)
+    SELECT sid, call::INT AS call, least(10, share - call * 10)::INT AS wanted FROM s, range(0, 40) r(call) WHERE call * 10 < share""",
+        "marked_answers": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 4 ELSE 2 END::INT AS awarded, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS missing, c_custkey % 2 = 0 AS formula FROM customer",
+        "cleaned_readings": r"""WITH c AS (SELECT p_partkey, replace(replace(p_name, '#', ''), ' ', '') AS x FROM part) SELECT p_partkey, '\text{' || x || '}\bf v' AS latex, NOT regexp_matches(x, '[A-Za-z]{5,}') AS plausible FROM c""",
+        "note_pages": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation)
+    SELECT n_regionkey, string_agg('<section id="s' || i || '"><h1>' || n_name || '</h1>' || chr(10) || '<p><strong>a</strong> &lt; b</p></section>', '' ORDER BY i) AS main FROM n GROUP BY n_regionkey""",
         "search_fused": f"WITH {_BM25}, ds AS (SELECT doc_id, unnest({_STEMS}) AS stem FROM documents), qs AS (SELECT item_id, unnest({_STEMS}) AS stem FROM benchmark), sh AS (SELECT item_id, doc_id, count(*) AS score FROM qs JOIN ds USING (stem) GROUP BY ALL), sr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sh), u AS (SELECT item_id, doc_id, rank FROM bm WHERE rank <= 20 UNION ALL SELECT item_id, doc_id, rank FROM sr WHERE rank <= 20), f AS (SELECT item_id, doc_id, round_even(sum(1.0::DOUBLE / (rank + 60)), 9) AS score FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT * FROM r WHERE rank <= 5",
         "hit_rates": f"WITH {_BM25}, g AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), f AS (SELECT g.item_id, min(bm.rank) AS r FROM g LEFT JOIN bm ON bm.item_id = g.item_id AND bm.doc_id = g.doc_id AND bm.rank <= 10 GROUP BY 1) SELECT count(*) AS queries, round_even(avg(CASE WHEN r <= 1 THEN 1.0::DOUBLE ELSE 0 END), 4) AS hit_at_1, round_even(avg(CASE WHEN r <= 5 THEN 1.0::DOUBLE ELSE 0 END), 4) AS hit_at_5, round_even(avg(CASE WHEN r <= 10 THEN 1.0::DOUBLE / r ELSE 0 END), 4) AS mrr_at_10 FROM f",
         "sentence_counts": r"SELECT doc_id, len(string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9(])', '\1' || chr(1) || '\2', 'g'), chr(1)))::BIGINT AS sentences FROM documents",
@@ -348,5 +412,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def queries():
-    names = (content_ids, search_bm25, search_cosine, search_fused, search_hybrid, search_stemmed, item_blueprint, formula_values, hit_rates, chunk_stats, sentence_counts, source_support, copied_items, latest_attempts, due_retries, section_mastery, weak_topics, exam_blueprint, chapter_rollup, label_rates, chat_window, item_error_rates, item_text_error_rates, hit_rates_by_parity, label_catch_rates, event_threshold, leak_check, event_rates, call_scores, refusals, retry_schedule, nation_mindmap, deck_ids)
+    names = (content_ids, search_bm25, search_cosine, search_fused, search_hybrid, search_stemmed, item_blueprint, formula_values, hit_rates, chunk_stats, sentence_counts, source_support, copied_items, latest_attempts, due_retries, section_mastery, weak_topics, exam_blueprint, chapter_rollup, label_rates, chat_window, item_error_rates, item_text_error_rates, hit_rates_by_parity, label_catch_rates, event_threshold, leak_check, event_rates, call_scores, refusals, retry_schedule, nation_mindmap, deck_ids, tool_faults, diagram_problems, calculations, question_shares, marked_answers, cleaned_readings, note_pages)
     return {f.__name__: f for f in names}
