@@ -154,17 +154,6 @@ def upsert(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     return old.join(new.select(*key).distinct(), list(key), "left_anti").unionByName(new)
 
 
-def stable_id(name: Column) -> Column:
-    """A 31-bit id from a name."""
-    return (F.conv(F.substring(F.sha2(name, 256), 1, 12), 16, 10).cast("long") % 2147483648).alias("stable_id")
-
-
-def notes_to_markdown(notes: DataFrame) -> DataFrame:
-    """(doc_id, markdown): a document's notes in order, rules between them."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "markdown"))), lambda x: x["markdown"]), "\n\n---\n\n")
-    return notes.groupBy("doc_id").agg(F.concat(text, F.lit("\n")).alias("markdown"))
-
-
 def last_turns(conversations: DataFrame, n: int = 12) -> DataFrame:
     """The last ``n`` messages of each conversation."""
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))

@@ -22,18 +22,20 @@ def attempts_by_window(events: DataFrame, window: str = "1 hour", late: str = "2
 
 
 def upsert_latest(stream: DataFrame, table: str, checkpoint: str):
-    """Keeps the last attempt at each question in a Parquet folder, batch by batch; a repeated batch changes nothing."""
+    """Keeps the last attempt at each question of a section in a Parquet folder, a version a batch; a repeated batch changes nothing.
+
+    Batch n reads version n - 1, which it must find, and writes version n; older versions are deleted.
+    """
+    key = ["question", "section"]
 
     def put(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{table}/v={batch_id - 1}")
-            batch = batch.unionByName(old.select(*batch.columns))
-        except Exception as e:  # the first batch has nothing before it
-            if batch_id > 0:
-                raise e
-        rest = [c for c in batch.columns if c != "question"]
-        latest = batch.groupBy("question").agg(F.max_by(F.struct(*rest), "id").alias("x")).select("question", "x.*")
+        if batch_id > 0:
+            batch = batch.unionByName(spark.read.parquet(f"{table}/v={batch_id - 1}").select(*batch.columns))
+        rest = [c for c in batch.columns if c not in key]
+        latest = batch.groupBy(*key).agg(F.max_by(F.struct(*rest), "id").alias("x")).select(*key, "x.*")
         latest.write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v={batch_id - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
