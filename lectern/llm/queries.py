@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_ngram_jaccard, op3_decontamination, op4_url_filter, op5_embedding_neardup, op9_lm_scoring
+from . import op1_ngram_jaccard, op3_decontamination, op4_url_filter, op5_embedding_neardup, op9_lm_scoring, op11_spelling_variants, op12_centroid_clustering
 from .op2_toxicity import op2_toxicity
 from .op6_html_extraction import op6_html_extraction
 from .op7_token_counts import op7_token_counts
@@ -22,6 +22,8 @@ def queries():
         "op8_mixing": op8_mixing,
         "op9_lm_scoring": op9_lm_scoring.op9_lm_scoring,
         "op10_license_scan": op10_license_scan,
+        "op11_spelling_variants": op11_spelling_variants.op11_spelling_variants,
+        "op12_centroid_clustering": op12_centroid_clustering.op12_centroid_clustering,
     }
 
 
@@ -32,4 +34,6 @@ def oracle_sql():
         "op4_url_filter": op4_url_filter.ORACLE,
         "op5_embedding_neardup": op5_embedding_neardup.ORACLE,
         "op9_lm_scoring": op9_lm_scoring.ORACLE,
+        "op11_spelling_variants": op11_spelling_variants.ORACLE,
+        "op12_centroid_clustering": op12_centroid_clustering.ORACLE,
     }
