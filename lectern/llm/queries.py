@@ -8,6 +8,7 @@ from .op6_html_extraction import op6_html_extraction
 from .op7_token_counts import op7_token_counts
 from .op8_mixing import op8_mixing
 from .op10_license_scan import op10_license_scan
+from .op13_language_id import op13_language_id
 
 
 def queries():
@@ -24,6 +25,7 @@ def queries():
         "op10_license_scan": op10_license_scan,
         "op11_spelling_variants": op11_spelling_variants.op11_spelling_variants,
         "op12_centroid_clustering": op12_centroid_clustering.op12_centroid_clustering,
+        "op13_language_id": op13_language_id,
     }
 
 
