@@ -17,9 +17,10 @@ Equal vectors are one class from the start: they link with each other without be
 compared, and their class goes through the tables once, with its number of members.
 Vectors of each length are hashed and compared among themselves; the length is part
 of the bucket. Vectors that are null, empty, zero or hold null or non-finite
-components link with nothing. A null vec_id cannot be named by others: such a
-row is its own component (null) and is kept. Rows that repeat a vec_id are vectors of
-their own. An empty table gives an empty result. Only vec_id and embedding are read, so
+components link with nothing. Only its vector decides what a row links with: rows that repeat
+a vec_id are vectors of their own, and a row without a vec_id links as any other. Such a
+row can't name a component: its component is the smallest vec_id it reaches, or null, and
+it is kept only where it reaches none. An empty table gives an empty result. Only vec_id and embedding are read, so
 other columns may have any names.
 """
 
@@ -34,12 +35,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, staged
+from .common import attach, components, dropped, staged
 
 TABLES, BITS, STEP, SEED = 18, 6, 1.0, 29
 BLOCK = 1024
 #: Members of small buckets that share a group.
 GROUP = 2000
+#: A vector that more rows than this repeat.
+OFTEN = 1000
 
 
 @lru_cache(maxsize=64)
@@ -89,10 +92,13 @@ def compare(ids: np.ndarray, times: np.ndarray, x: np.ndarray, keys: np.ndarray,
 def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding)."""
     sound = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("embedding", lambda v: v != 0)
-    rows = vectors.select("vec_id", F.when(sound, F.col("embedding").cast("array<double>")).alias("v"))
-    good = rows.where("v is not null and vec_id is not null")
-    classes = staged(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")))
+    # 0.0 and -0.0 are one number
+    rows = vectors.select("vec_id", F.when(sound, F.transform(F.col("embedding").cast("array<double>"), lambda v: v + F.lit(0.0))).alias("v"))
+    grouped = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("times"))
+    # a class is named by a number of its own, written with it, as ids may repeat and may be null
+    classes = staged(grouped.withColumn("rep", F.monotonically_increasing_id()))
     if classes.isEmpty():
+        dropped(classes)
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,11 +113,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
                 blob = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(np.full(len(x), dim, np.int32)), blob(x), blob(keys), pa.array(list(keys.astype(np.int64)), pa.list_(pa.int64()))], ["rep", "times", "dim", "x", "keys", "buckets"])
 
-    table = staged(classes.mapInArrow(hashed, "rep long, times long, dim int, x binary, keys binary, buckets array<long>"))
+    table = staged(classes.select("v", "rep", "times").mapInArrow(hashed, "rep long, times long, dim int, x binary, keys binary, buckets array<long>"))
     spread = table.select("rep", "dim", F.posexplode("buckets").alias("t", "bucket"))
-    sizes = spread.groupBy("dim", "t", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    # a bucket's blocks: each vector is in one, and goes to every pair of blocks that holds it
-    member = spread.join(sizes, ["dim", "t", "bucket"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep", "t"), F.col("blocks")).cast("int"))
+    spread = spread.withColumn("b", F.xxhash64("dim", "t", "bucket"))
+    sizes = staged(spread.groupBy("b").agg(F.count("*").alias("n")).where("n > 1"))
+    # a bucket's blocks: each vector is in one, and goes to every pair of blocks that holds it. Members of large
+    # buckets are told their number before any of them meet; of the others at most BLOCK share a key
+    told = staged(attach(spread, sizes.where(F.col("n") > BLOCK), "b", salt="rep", how="left"))
+    few = told.where("n is null").drop("n").join(sizes.where(F.col("n") <= BLOCK), "b")
+    member = told.where("n is not null").unionByName(few).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep", "t"), F.col("blocks")).cast("int"))
     meet = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meet = meet.select("rep", "dim", "t", "bucket", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     meet = meet.join(table.select("rep", "times", "x", "keys"), "rep")
@@ -148,12 +158,19 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         return pa.table({"rep": pa.array(flat[0], pa.int64()), "n": pa.array(flat[1], pa.int64()), "near": pa.array(flat[2], pa.int64())})
 
     found = staged(meet.withColumn("grp", group).groupBy("grp").applyInArrow(links, "rep long, n long, near long"))
+    dropped(sizes, told, table)
     count = found.groupBy("rep").agg(F.sum("n").alias("n"))
     comp = components(found.where("rep <> near"), "rep", "near")
-    linked = classes.join(count, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
-    linked = linked.select("v", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(linked, "v", "left").select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    each = staged(classes.join(count, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left").select("v", "times", "least_id", F.coalesce("component", "rep").alias("c"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links")))
+    # the component's name: the smallest id of any of its rows
+    linked = staged(attach(each, each.groupBy("c").agg(F.min("least_id").alias("component_id")), "c", salt="n_links", salts=8).select("v", "times", "n_links", "component_id"))
+    dropped(classes, found, each)
+    # vectors that very many rows repeat are told apart first, so that no key gathers their rows
+    often = attach(rows, linked.where(F.col("times") > OFTEN).drop("times"), "v", salt="vec_id", salts=8, how="left")
+    rest = often.where("n_links is null").select("vec_id", "v").join(linked.where(F.col("times") <= OFTEN).drop("times"), "v", "left")
+    out = often.where("n_links is not null").unionByName(rest)
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def op5_embedding_neardup(spark, sf_dir: str) -> DataFrame:

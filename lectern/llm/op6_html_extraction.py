@@ -9,13 +9,17 @@
    Each task folds its own pages; the wrappers of a host then meet in a tree: salted
    first, whole last. Equal streams are aligned once, so a host with a third of all
    pages costs a few alignments a task.
-3. In the finished wrapper each slot has a path. Slots under menus, headers, footers,
-   sidebars, forms, notices, adverts and comments are left out by the names of their
-   path. The rest is main text in tiers: slots in the article; slots under names of
-   main text; slots that vary or stand on one page only and aren't linked; all others
-   that aren't linked.
-4. Every page is read by its host's wrapper: the texts at the slots of the first tier
-   where the page has any, in page order. So a host's pages may have many templates.
+3. In the finished wrapper every slot gets a tier by its path. Slots under menus, headers,
+   footers, sidebars, forms, notices, adverts and comments are left out by the words of the
+   names on their path: one such word is enough (comment-content), unless another tells of a layout
+   only (with-sidebar). The tiers are: slots in the article; slots under names of main text;
+   slots that vary or stand on one page only and aren't linked; all others that aren't linked.
+4. Every page is matched with its host's wrapper: its tokens are aligned with the expression's, and
+   each of its texts gets the tier of the slot that it falls into (a text that falls into
+   none that of its path). The page's main text is the first of the first three tiers that holds
+   half of their words on that page or more, or the first two or three together where none does
+   alone; the last tier only where these are empty. So a host's pages may have many
+   templates, and a teaser marked as article doesn't hide the story.
 
 Nothing is cut. Pages that are null or empty give an empty text. A url without a host
 (or null) forms one group of its own, salted like any other. Repeated rows are kept, and
@@ -30,13 +34,14 @@ import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, staged
+from .common import attach, dropped, staged
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<text>[^<]+|<)", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -48,13 +53,16 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BREAKS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 LEFT_OUT = {"nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "title"} | RAW
-# names of what is no main text: whole, or with a word for its place or for its box; never a part of other compounds (with-sidebar)
-NOT_MAIN = re.compile(
-    r"(?:(?:site|page|main|global|top|bottom|primary|secondary|cookie|user|social|related|mobile|blog)[-_]?)?"
-    r"(?:ads?|advert(?:s|isements?|ising)?|banners?|promos?|promotions?|sponsors?|sponsored|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|nav|navbar|navigation|menus?|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widgets?|related|recommend(?:ed|ations?)|share|sharing|social|comments?|disqus|respond|replies|newsletter|subscribe|login|signup|search|pagination|pager|complementary|contentinfo)"
-    r"(?:[-_]?(?:bar|box|list|links?|area|wrap|wrapper|container|inner|menu|items?|buttons?|form|posts?|slot|unit))?"
+# words of names of what is no main text
+NOT_MAIN = set(
+    "ad ads advert adverts advertisement advertisements advertising banner banners promo promos promotion promotions sponsor sponsors sponsored cookie cookies consent gdpr notice notices alert popup modal overlay "
+    "nav navbar navigation menu menus menubar breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets related recommended recommendation recommendations share sharing social comment comments disqus respond "
+    "replies newsletter subscribe login signup search pagination pager complementary contentinfo teaser teasers".split()
 )
-MAIN_NAMES = re.compile(r"(?:^|[^a-z])(?:article\w*|main|content|post|entry|story|articlebody|body)(?:$|[^a-z])")
+# words of names that only say how a page is laid out, whatever else they hold
+LAYOUT = set("with without has have no not is hide hidden show layout wide grid theme template".split())
+# main text by a whole word of a name
+MAIN_NAMES = set("article articlebody main content post entry story body".split())
 
 
 def parse(page: str | None) -> Iterator[tuple]:
@@ -122,16 +130,21 @@ def parse(page: str | None) -> Iterator[tuple]:
     yield from pop(len(stack))
 
 
-def stream(page: str | None) -> list:
-    """Tokens of a page: [kind, key, text, words, linked words, page]; siblings that repeat are folded."""
+def stream(page: str | None, order: bool = False) -> list:
+    """Tokens of a page: [kind, key, text, words, linked words, page]; siblings that repeat are folded.
+
+    With ``order``, each has also the numbers of the texts that are folded into it.
+    """
     out: list = []
-    own = xxhash.xxh64_intdigest(page or "")
+    own, count = xxhash.xxh64_intdigest(page or ""), 0
     for event in parse(page):
+        more = [[]] if order else []
         if event[0] == "text":
             n = len(event[1].split())
-            out.append(["#", event[2], event[1], 0 if event[3] else n, n if event[3] else 0, own])
+            out.append(["#", event[2], event[1], 0 if event[3] else n, n if event[3] else 0, own, *([[count]] if order else [])])
+            count += 1
         else:
-            out.append([event[0][0], event[1], "", 0, 0, own])
+            out.append([event[0][0], event[1], "", 0, 0, own, *more])
             if event[0] == "close":
                 out = folded(out)
     return out
@@ -143,7 +156,8 @@ def same(a: list, b: list) -> bool:
 
 def together(a: list, b: list) -> list:
     """One token for two: equal texts stay template text, others become a slot (None). So with pages: one, or None for several."""
-    return [a[0], a[1], a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4], a[5] if a[5] == b[5] else None, *a[6:]]
+    more = [a[6] + b[6]] if len(a) > 6 and isinstance(a[6], list) else a[6:]
+    return [a[0], a[1], a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4], a[5] if a[5] == b[5] else None, *more]
 
 
 def folded(tokens: list) -> list:
@@ -238,24 +252,58 @@ class Wrapper:
         pages, tokens = json.loads(s)
         return cls(tokens, pages)
 
-    def main_paths(self) -> list[list[str]]:
-        """Paths of the slots that hold main text, in tiers: a page is read at the first one where it has any.
-
-        Marked as article; named as main text; texts that vary or stand on one page only;
-        anything else. What is linked for the most part is left out of the last two.
-        """
-        slots: dict[str, list] = {}
+    def slots(self) -> list[int]:
+        """The tier of each token that is a slot of main text (0 to 3), -1 for all other tokens."""
+        by: dict[str, list] = {}
         for kind, path, text, n, linked, page, _ in self.tokens:
             if kind == "#":
-                s = slots.setdefault(path, [0, 0, False])
+                s = by.setdefault(path, [0, 0, False])
                 s[0] += n
                 s[1] += linked
                 s[2] |= text is None or page is not None
-        kept = {p: s for p, s in slots.items() if not any(_left_out(k) for k in p.split("/")[1:])}
-        inside = (lambda k: k.partition(".")[0] in ("article", "main"), lambda k: bool(MAIN_NAMES.search(k.partition(".")[2])))
-        tiers = [[p for p in kept if any(f(k) for k in p.split("/"))] for f in inside]
-        unlinked = [p for p, s in kept.items() if s[0] > s[1]]
-        return [sorted(t) for t in (*tiers, [p for p in unlinked if kept[p][2]], unlinked)]
+        tiers = {p: self._tier(p, *s) for p, s in by.items()}
+        return [tiers[t[1]] if t[0] == "#" else -1 for t in self.tokens]
+
+    @staticmethod
+    def _tier(path: str, unlinked: int, linked: int, varies: bool) -> int:
+        """In the article; named as main text; texts that vary or stand on one page only; anything else that isn't linked."""
+        keys = path.split("/")[1:]
+        if any(_left_out(k) for k in keys):
+            return -1
+        if any(k.partition(".")[0] in ("article", "main") for k in keys):
+            return 0
+        if any(MAIN_NAMES & set(w) for k in keys for w in _names(k)):
+            return 1
+        return -1 if unlinked <= linked else 2 if varies else 3
+
+
+def matched(page: str | None, names: list[int], tiers: list[int]) -> str:
+    """The main text of a page by its host's wrapper: the hashes of the expression's tokens and their tiers."""
+    texts = [e for e in parse(page) if e[0] == "text"]
+    tokens = stream(page, True)
+    slot = dict(aligned([_hash(t) for t in tokens], names))
+    by_path = {n: t for n, t in zip(names, tiers, strict=True)}
+    tier = [-1] * len(texts)
+    for i, t in enumerate(tokens):
+        for k in t[6]:
+            tier[k] = tiers[slot[i]] if i in slot else by_path.get(_hash(t), -1)
+    words = [0] * 3
+    for e, t in zip(texts, tier, strict=True):
+        if 0 <= t < 3:
+            words[t] += 0 if e[3] else len(e[1].split())
+    whole = sum(words)
+    best = next((t for t in range(3) if words[t] and 2 * words[t] >= whole), None)
+    if best is not None:
+        take = {best}
+    elif whole:
+        take = {0, 1} if 2 * (words[0] + words[1]) >= whole else {0, 1, 2}
+    else:
+        take = {min((t for t in tier if t >= 0), default=-2)}
+    return " ".join(e[1] for e, t in zip(texts, tier, strict=True) if t in take)
+
+
+def _hash(token: list) -> int:
+    return xxhash.xxh64_intdigest(f"{token[0]}{token[1]}") >> 1
 
 
 def repeats(tokens: list) -> list:
@@ -268,10 +316,21 @@ def repeats(tokens: list) -> list:
     return out
 
 
+def _names(key: str) -> list[list[str]]:
+    """The words of each class, id and role of an element's key."""
+    given = key.partition(".")[2]
+    return [w for x in given.split(".") if not LAYOUT & set(w := re.split(r"[-_:]+", x))] if given else []
+
+
+@lru_cache(100_000)
 def _left_out(key: str) -> bool:
-    name, _, given = key.partition(".")
-    # names of the page's own frame (html, body, main, article) tell of its layout
-    return name in LEFT_OUT or (name not in ("html", "body", "main", "article") and any(NOT_MAIN.fullmatch(x.strip("-_")) for x in given.split(".")))
+    name = key.partition(".")[0]
+    if name in LEFT_OUT:
+        return True
+    # names of the page's own frame (html, body, main) tell of its layout; an article is left out as a teaser only
+    if name in ("html", "body", "main"):
+        return False
+    return any(NOT_MAIN & set(w) and (name != "article" or {"teaser", "teasers", "related", "comment", "comments", "ad", "ads", "sponsored"} & set(w)) for w in _names(key))
 
 
 def host(url: Column) -> Column:
@@ -310,26 +369,24 @@ def wrappers(pages: DataFrame, salts: int = 64) -> DataFrame:
 def extract(pages: DataFrame, *keep: str) -> DataFrame:
     """Adds ``text`` (main text, '' if none) to the columns ``keep`` of every row of ``pages`` (page_id, url, html)."""
 
-    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [Wrapper.from_json(x).main_paths() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.list_(pa.string())))], ["host", "main"])
+            found = [Wrapper.from_json(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[_hash(t) for t in w.tokens] for w in found], pa.list_(pa.int64())), pa.array([w.slots() for w in found], pa.list_(pa.int8()))], ["host", "names", "tiers"])
 
-    table = staged(wrappers(pages).select("host", "wrapper").mapInArrow(paths, "host string, main array<array<string>>"))
+    made = wrappers(pages)
+    table = staged(made.select("host", "wrapper").mapInArrow(slots, "host string, names array<long>, tiers array<tinyint>"))
+    dropped(made)
     rows = pages.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], host(F.col("url")).alias("host"), F.col("html").alias("h"), F.xxhash64("html").alias("salt"))
-    rows = attach(rows, table, "host", "salt").select(*[f"k{i}" for i in range(len(keep))], "h", "main")
+    rows = attach(rows, table, "host", "salt").select(*[f"k{i}" for i in range(len(keep))], "h", "names", "tiers")
     n = len(keep)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            for page, main in zip(b.column(n), b.column(n + 1), strict=True):
-                said = [e for e in parse(page.as_py()) if e[0] == "text"]
-                found = ([e[1] for e in said if e[2] in at] for at in map(set, main.as_py() or ()))
-                texts.append(" ".join(next(filter(None, found), ())))
+            texts = [matched(page.as_py(), names.as_py(), tiers.as_py()) for page, names, tiers in zip(*b.columns[n:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(texts, pa.string())], [*b.schema.names[:n], "text"])
 
-    schema = rows.drop("h", "main").schema.add("text", "string")
+    schema = rows.drop("h", "names", "tiers").schema.add("text", "string")
     return rows.mapInArrow(read, schema).toDF(*keep, "text")
 
 

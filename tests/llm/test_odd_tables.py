@@ -105,10 +105,40 @@ def test_urls(spark):
 def test_embeddings(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], "c"), (1, [0.0, 1.0], "c"), (2, [1.0, 0.0], "c"), (3, [], "c"), (4, None, "c"), (5, [float("inf"), 1.0], "c")], "vec_id long, embedding array<double>, rep string")
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in op5.near_duplicates(df).collect())
-    assert (2, 1, 1, False) in got and (3, 0, 3, True) in got and (4, 0, 4, True) in got and (5, 0, 5, True) in got and len(got) == 6
+    assert (1, 1, 1, True) in got and (1, 0, 1, True) in got and (2, 1, 1, False) in got and (3, 0, 3, True) in got and (4, 0, 4, True) in got and (5, 0, 5, True) in got and len(got) == 6
     assert op5.near_duplicates(df.limit(0)).count() == 0
 
 
+def vectors_by_pairs(rows, least=0.95):
+    """(vec_id, n_links, component_id, kept) of each row by comparing every pair of rows."""
+    unit = [[x / sum(y * y for y in v) ** 0.5 for x in v] for _, v in rows]
+    near = [[j for j in range(len(rows)) if j != i and len(unit[i]) == len(unit[j]) and sum(a * b for a, b in zip(unit[i], unit[j])) >= least] for i in range(len(rows))]
+    out = []
+    for i, (name, _) in enumerate(rows):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        named = min((rows[j][0] for j in seen if rows[j][0] is not None), default=None)
+        out.append((name, len(near[i]), named, named is None or name == named))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0])],
+    [(None, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.001])],
+    [(None, [1.0, 0.0]), (None, [1.0, 0.0]), (7, [0.0, -1.0]), (7, [-0.0, -1.0]), (9, [1.0]), (8, [2.0])],
+    [(5, [1.0, i / 500]) for i in range(60)] + [(i, [1.0, 0.3 + i / 500]) for i in range(60)],
+])
+def test_repeated_and_missing_vector_ids(spark, monkeypatch, rows):
+    monkeypatch.setattr(op5, "OFTEN", 1)
+    monkeypatch.setattr(op5, "BLOCK", 16)
+    got = op5.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got), key=str) == vectors_by_pairs(rows)
+
+
 def test_pages(spark):
     long = "<html><body><article>" + "".join(f"<p>paragraph {i} of it</p>" for i in range(3000)) + "</article></body></html>"
     deep = "<div>" * 400 + "<p>far down</p>" + "</div>" * 400
