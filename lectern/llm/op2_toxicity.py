@@ -23,7 +23,7 @@ curve from this figure to a score of 0 to 1 are fitted on labelled texts whose w
 were not counted; both classes weigh the same in it.
 
 The fit is bounded: at most ``sample`` labelled texts of each class and part (by the
-order of a hash of doc_id; whole texts) and the ``vocabulary`` words of most contexts.
+order of a hash of doc_id; whole texts), and all words that they hold.
 Counting runs in Spark; every text is scored, whole. Labels are used where
 crc32(doc_id) mod 5 is not 0: remainders 1 to 3 for the counts and 4 for the curve.
 Texts only are read for a score.
@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, threshold
+from .common import staged
 
 WORD = re.compile(r"[^\W\d_]+")
 DISCOUNT = 0.75
@@ -66,7 +66,7 @@ class KneserNey:
     """The log-likelihood ratio of each known word between the classes, and of all others."""
 
     def __init__(self, counts: dict[str, tuple[int, int]], total: tuple[int, int], kinds: tuple[int, int]):
-        """``counts``: continuation counts (ordinary, toxic) of the words that are kept; ``total`` and ``kinds``: of all words."""
+        """``counts``: continuation counts (ordinary, toxic) of each word; ``total``: their sums; ``kinds``: words of each class."""
         share = [DISCOUNT * t / max(n, 1) for n, t in zip(total, kinds, strict=True)]
         shared = sum(kinds) + 1
         self.ratio = {}
@@ -148,8 +148,8 @@ def continuation_counts(texts: DataFrame) -> DataFrame:
     return each.groupBy("word").agg(F.sum(F.col("classes").bitwiseAND(1)).alias("ordinary"), F.sum(F.shiftright("classes", 1)).alias("toxic"))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000, vocabulary: int = 400_000) -> Scorer | None:
-    """Fit on at most ``sample`` labelled texts of each class and part; keeps at most ``vocabulary`` words."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Scorer | None:
+    """Fit on at most ``sample`` labelled texts of each class and part, and all their words."""
     texts = labelled(docs, labels, sample)
     have = {(r.toxic, r.part) for r in texts.select("toxic", "part").distinct().collect()}
     if not {(0, False), (1, False)} <= have:
@@ -158,9 +158,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000, vocabul
     total = counts.agg(F.sum("ordinary"), F.sum("toxic"), F.count(F.when(F.col("ordinary") > 0, 1)), F.count(F.when(F.col("toxic") > 0, 1))).first()
     if not total[0] or not total[1]:
         return None
-    # a word of one context is as good as unknown: its discounted count is next to nothing
-    kept = threshold(counts.withColumn("n", F.col("ordinary") + F.col("toxic")).where("n > 1"), "n", vocabulary)
-    model = KneserNey({r.word: (r.ordinary, r.toxic) for r in kept.select("word", "ordinary", "toxic").collect()}, (total[0], total[1]), (total[2], total[3]))
+    # no more words than the sampled texts hold
+    kept = counts.select("word", "ordinary", "toxic").toArrow()
+    pairs = zip(kept["ordinary"].to_pylist(), kept["toxic"].to_pylist(), strict=True)
+    model = KneserNey(dict(zip(kept["word"].to_pylist(), pairs, strict=True)), (total[0], total[1]), (total[2], total[3]))
     held = texts.where("part") if {(0, True), (1, True)} <= have else texts
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

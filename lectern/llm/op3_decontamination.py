@@ -52,15 +52,15 @@ def hashes(words: Column, k: int) -> Column:
 
 
 def fingerprint(shingles: Column) -> Column:
-    """SimHash: each bit is that of most shingles. Counts of four bits go through one fold, 16 bits for each."""
+    """SimHash: each bit is that of most shingles. Counts of two bits go through one fold, 32 bits for each, so no array overflows them."""
     n = F.size(shingles)
     out = []
-    for lane in range(16):
-        spread = lambda h, lane=lane: reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(F.shiftrightunsigned(h, 4 * lane + i).bitwiseAND(F.lit(1).cast("bigint")), 16 * i) for i in range(4)])
+    for lane in range(32):
+        spread = lambda h, lane=lane: reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(F.shiftrightunsigned(h, 2 * lane + i).bitwiseAND(F.lit(1).cast("bigint")), 32 * i) for i in range(2)])
         count = F.aggregate(shingles, F.lit(0).cast("bigint"), _adder(spread))
-        for i in range(4):
-            most = F.shiftrightunsigned(count, 16 * i).bitwiseAND(F.lit(0xFFFF).cast("bigint")) * 2 > n
-            out.append(F.when(most, F.lit(1 << (4 * lane + i) if 4 * lane + i < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        for i in range(2):
+            most = F.shiftrightunsigned(count, 32 * i).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")) * 2 > n
+            out.append(F.when(most, F.lit(1 << (2 * lane + i) if 2 * lane + i < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     return reduce(lambda a, b: a.bitwiseOR(b), out)
 
 

@@ -26,6 +26,7 @@ names. Documents of equal size differ by the hash of id, text and source alone.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,7 +98,7 @@ def _step(level: int, seed: int):
     return lambda p, item: _meet(p, item, level, seed)
 
 
-def pivotal(rows: DataFrame, groups: Sequence[str], block: int = 512, seed: int = 11, most_levels: int = 12, edge: float = 1e-9) -> DataFrame:
+def pivotal(rows: DataFrame, groups: Sequence[str], block: int = 512, seed: int = 11, edge: float = 1e-9) -> DataFrame:
     """(doc_id, tie, one): ``one`` is 1 with probability ``p`` for each row, by dependent rounding within ``groups``.
 
     ``rows`` has doc_id, tie, size, p and the columns of ``groups``; sizes of rows with
@@ -106,7 +107,7 @@ def pivotal(rows: DataFrame, groups: Sequence[str], block: int = 512, seed: int
     g = [F.coalesce(F.col(c).cast("string"), F.lit("\0null")).alias(c) for c in groups]
     now = rows.select("doc_id", "tie", "size", "p", F.xxhash64(*g).alias("g"))
     out = None
-    for level in range(most_levels):
+    for level in count():  # each level leaves a row of a block at most, so few are needed and the last leaves one of each group
         sure = now.where(f"p <= {edge} or p >= 1 - {edge}").select("doc_id", "tie", F.round("p").cast("int").alias("one"))
         out = sure if out is None else out.union(sure)
         now = now.where(f"p > {edge} and p < 1 - {edge}")
