@@ -101,13 +101,14 @@ def test_embeddings_brute_force(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
     odd = [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (None, rows[1][1]), (904, [1.0])]
     got = {r.vec_id: r for r in op5.near_duplicates(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")).collect()}
-    u = x.astype(np.float32).astype(np.float64)
+    u = np.concatenate([x, x[1:2]]).astype(np.float32).astype(np.float64)  # the row without an id links too
     u /= np.linalg.norm(u, axis=1)[:, None]
     link = u @ u.T >= 0.95
     np.fill_diagonal(link, False)
-    n = np.array([got[i].n_links for i in range(300)])
+    n = np.array([got[i].n_links for i in (*range(300), None)])
     assert (n <= link.sum(1)).all() and n.sum() >= 0.9 * link.sum()
-    assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903, 904, None))
+    assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903, 904))
+    assert got[None].component_id == 1 and not got[None].kept
     assert {got[i].component_id for i in range(200, 220)} == {1}
 
 
