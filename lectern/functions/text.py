@@ -38,7 +38,7 @@ def tokens(c: Column, ascii_only: bool = False) -> Column:
 def strip_maths(c: Column) -> Column:
     """Remove formula spans and notes on marks."""
     c = F.regexp_replace(c, r"(?s)\$\$.*?\$\$|\$[^$]*\$|\\\(.*?\\\)|\\\[.*?\\\]", " ")
-    return F.regexp_replace(c, r"(?i)\(\s*\d+\s*marks?[^)]*\)", " ")
+    return F.regexp_replace(c, r"(?i)\(\s*(?:\d+\s*|(?:one|two|three|half)\s+)marks?[^)]*\)", " ")
 
 
 def content_stems(c: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 CSP = "default-src 'none'; script-src 'unsafe-inline'; style-src 'unsafe-inline'; img-src data:; font-src data:"
-STYLE = "body{max-width:46rem;margin:auto;font:17px/1.6 serif}table{border-collapse:collapse}td,th{border:1px solid;padding:.3em}.math,code,pre{font-family:monospace}"
+STYLE = "body{display:grid;grid-template-columns:minmax(0,46rem);justify-content:center;font:17px/1.6 serif}table{border-collapse:collapse}td,th{border:1px solid;padding:.3em}.math,code,pre{font-family:monospace}"
 MATHS = re.compile(r"\$\$.+?\$\$|\$[^$\n]+?\$", re.S)
 INLINE = ((re.compile(r"`([^`]+)`"), r"<code>\1</code>"), (re.compile(r"\*\*(.+?)\*\*"), r"<strong>\1</strong>"), (re.compile(r"(?<![*\w])\*([^*\s][^*]*?)\*(?![*\w])"), r"<em>\1</em>"))
 ITEM = re.compile(r"(\s*)([-*+]|\d+[.)])\s+(.*)")

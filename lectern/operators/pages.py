@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 BOX = "struct<l:double,b:double,r:double,t:double>"
 # Sizes and gaps in points, and the bounds of a reading.
-PAD, JOIN, MARGIN, LEAST_WIDTH, LEAST_HEIGHT, HIGHEST, WIDEST = 3.0, 2.0, 40.0, 20.0, 6.0, 80.0, 0.8
+PAD, JOIN, EDGE, LEAST_WIDTH, LEAST_HEIGHT, HIGHEST, WIDEST = 3.0, 2.0, 40.0, 20.0, 6.0, 80.0, 0.8
 INLINE_PAD, INLINE_JOIN, INLINE_MERGE, LEAST_INLINE, WIDEST_INLINE = 4.0, 2.5, 12.0, 1.5, 0.5
 LONGEST_READING, WORDY = 600, r"\\(?:text[a-z]*|mathrm|operatorname)\s*\{[^{}]*[A-Za-z]{5,}[^{}]*\}"
 
@@ -72,7 +72,7 @@ def equation_regions(texts: Column, paths: Column, width: Column, height: Column
     small = lambda p: (p["r"] - p["l"] < width * WIDEST) & (p["t"] - p["b"] < HIGHEST)
     lone = _sorted(F.filter(_boxes(paths), lambda p: small(p) & clear(p)), lambda p: -p["t"])
     bands = _runs(lone, BOX, lambda now, p: (p["t"] >= now["b"] - JOIN) & (p["b"] <= now["t"] + JOIN), around)
-    sized = F.filter(bands, lambda r: (r["r"] - r["l"] >= LEAST_WIDTH) & (r["t"] - r["b"] >= LEAST_HEIGHT) & (r["l"] >= MARGIN) & (r["b"] >= MARGIN) & (r["t"] <= height - MARGIN))
+    sized = F.filter(bands, lambda r: (r["r"] - r["l"] >= LEAST_WIDTH) & (r["t"] - r["b"] >= LEAST_HEIGHT) & (r["l"] >= EDGE) & (r["b"] >= EDGE) & (r["t"] <= height - EDGE))
     padded = F.transform(sized, lambda r: F.struct((r["l"] - PAD).alias("l"), (r["b"] - PAD).alias("b"), (r["r"] + PAD).alias("r"), (r["t"] + PAD).alias("t")))
     return F.filter(padded, clear)
 

@@ -14,6 +14,21 @@ EXERCISES = r"(?i)^(?:(?:review|critical thinking|interactive link|conceptual)\s
 TAIL = r"(?:^|(?<=[.?!)\]”\"'])\s+|\n\n)(?:Conceptual Questions|Review Questions|Critical Thinking Questions|Interactive Link Questions|Problems|Additional Problems|Challenge Problems)(?=\s*(?:$|\d{1,2}\.\d{1,2}\s|\d{1,3} \. ))"
 
 
+#: Words before the number of a heading of the first level.
+DIVISIONS = r"(?i)^(?:chapter|unit|module|part)\s+(\d+|[ivxlc]+)\b[\s.:–—-]*"
+
+
+def heading_number(title: Column) -> Column:
+    """The number of a heading, '4.2' or that of a chapter, null for none."""
+    plain, chapter = F.regexp_extract(title, r"^(\d{1,2}(?:\.\d{1,2}){0,3})", 1), F.lower(F.regexp_extract(title, DIVISIONS, 1))
+    return F.coalesce(F.nullif(F.rtrim(plain, F.lit(".")), F.lit("")), F.nullif(chapter, F.lit("")))
+
+
+def heading_title(line: Column) -> Column:
+    """A chapter heading without its word and number; the whole line where nothing is left, or for other headings."""
+    return F.coalesce(F.nullif(strip_space(F.regexp_replace(line, DIVISIONS, "")), F.lit("")), line)
+
+
 def heading_level(line: Column) -> Column:
     """Level of a heading line, null for other lines: numbered (dots + 1), or chapter, unit, module, part (1)."""
     line = F.trim(line)
@@ -41,9 +56,10 @@ def section_chunks(sections: DataFrame, *keep: str) -> DataFrame:
 
 
 def pieces(text: Column) -> Column:
-    """Paragraphs; a long one becomes its sentences, a long sentence is cut every ``LONGEST`` characters."""
-    paragraphs = F.filter(F.split(text, r"\n\s*\n"), lambda p: F.length(F.trim(p)) > 0)
-    split = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= LONGEST, F.array(p)).otherwise(sentences(p))))
+    """Paragraphs, trimmed; a long one becomes its sentences, a long sentence is cut every ``LONGEST`` characters."""
+    trimmed = lambda x: F.filter(F.transform(x, strip_space), lambda p: F.length(p) > 0)
+    paragraphs = trimmed(F.split(text, r"\n\n"))
+    split = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= LONGEST, F.array(p)).otherwise(trimmed(sentences(p)))))
     cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / LONGEST).cast("int")), lambda i: F.substring(s, i * LONGEST + 1, F.lit(LONGEST)))
     return F.flatten(F.transform(F.filter(split, lambda s: F.length(s) > 0), cut))
 
@@ -89,10 +105,10 @@ def sections(parts: DataFrame) -> DataFrame:
     p = parts.withColumn("head", F.expr(f"sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER ({w})")).withColumn("any", F.expr("max(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id)"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") != "heading", F.struct("ord", "text")))), lambda x: x["text"]), "\n\n")
     s = p.groupBy("doc_id", "head").agg(F.max(F.when(F.col("kind") == "heading", F.col("text"))).alias("title"), F.coalesce(F.max("level"), F.lit(1)).alias("level"), F.max("any").alias("any"), body.alias("text"))
-    number = F.nullif(F.rtrim(F.regexp_extract("title", r"^(\d{1,2}(?:\.\d{1,2}){0,3})", 1), F.lit(".")), F.lit(""))
+    number = heading_number(F.col("title"))
     s = s.withColumn("base", F.when(F.col("head") == 0, F.when(F.col("any") == 1, "front").otherwise("all")).otherwise(F.coalesce(number, F.concat(F.lit("s"), F.col("head").cast("string")))))
     s = s.where("head > 0 OR text <> ''").withColumn("again", F.expr("row_number() OVER (PARTITION BY doc_id, base ORDER BY head)"))
-    s = s.withColumn("sid", F.when(F.col("again") > 1, F.concat("base", F.lit("~"), F.col("again").cast("string"))).otherwise(F.col("base")))
+    s = s.withColumn("sid", F.when(F.col("again") > 1, F.concat("base", F.lit("~"), F.col("again").cast("string"))).otherwise(F.col("base"))).withColumn("title", heading_title(F.col("title")))
     above = F.array_compact(F.array(*[F.expr(f"CASE WHEN level > {k} THEN last(CASE WHEN level <= {k} THEN named_struct('level', level, 'head', head, 'title', title) END, true) OVER (PARTITION BY doc_id ORDER BY head ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END") for k in (1, 2, 3)]))
     path = F.transform(F.filter(F.array_distinct(above), lambda x: x["title"].isNotNull()), lambda x: x["title"])
     return s.withColumn("path", path).select("doc_id", "sid", F.col("head").cast("int").alias("ord"), "title", "level", "path", "text")

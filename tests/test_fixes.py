@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lectern.functions.text import strip_maths
 from lectern.operators import blueprint, library, metrics, segment, verify
 
 from .conftest import rows
@@ -55,3 +56,19 @@ def test_threshold(spark):
     df = spark.createDataFrame([(0.1, True), (0.2, True), (0.6, False), (0.9, False), (None, True)], "s double, bad boolean")
     assert rows(metrics.best_threshold(df, "s", "bad", [0.0, 0.3, 0.5, 1.0])) == [(0.3, 1.0, 0.0)]
     assert rows(metrics.catch_rates(df.withColumn("d", F.lit(True)), "bad", "d")) == [(1.0, 1.0)]
+
+
+def test_chapter_numbers_and_titles(spark):
+    text = "Chapter 4 Circuits\n\nWires carry charge.\n\n4.1 Ohm and his law\n\nMore volts, more amperes.\n\nUnit IV\n\nLast words."
+    got = segment.sections(segment.blocks(spark.createDataFrame([("d", text)], "doc_id string, text string"))).orderBy("ord")
+    assert [(r.sid, r.title, r.path) for r in got.collect()] == [("4", "Circuits", []), ("4.1", "4.1 Ohm and his law", ["Circuits"]), ("iv", "Unit IV", [])]
+
+
+def test_pieces_are_trimmed(spark):
+    df = spark.createDataFrame([("  a para \n\n\t\n\nsecond\n \nline  ",)], "text string")
+    assert df.select(segment.pieces(F.col("text"))).first()[0] == ["a para", "second\n \nline"]
+
+
+def test_notes_on_marks_in_words(spark):
+    df = spark.createDataFrame([("Newtons (one mark for units) (3 marks) (Half mark) (markers)",)], "t string")
+    assert df.select(strip_maths(F.col("t"))).first()[0].split() == ["Newtons", "(markers)"]
