@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import catalog_state
 from .functions import formulas as fm
 from .functions import text as t
 from .operators import blueprint as bp
@@ -408,9 +409,9 @@ def oracle_sql() -> dict[str, str]:
         "call_scores": "SELECT n_nationkey, 1::BIGINT AS calls, true AS tools, contains(lower(n_name), 'a') AND n_regionkey BETWEEN 1 AND 3 AS arguments FROM nation",
         "refusals": "WITH s AS (SELECT conv_id, turn, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS x FROM conversations), r AS (SELECT *, starts_with(x, 'the') AS refused, NOT starts_with(x, 'the') AND contains(x, 'the') AS mixed FROM s) SELECT conv_id, turn, refused, mixed, CASE WHEN turn % 2 = 0 THEN NOT refused AND NOT mixed AND contains(x, 'a') ELSE refused END AS correct FROM r",
         "item_error_rates": "WITH s AS (SELECT item_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS x FROM benchmark) SELECT a.item_id, round_even(least(1.0, levenshtein(a.x, b.x)::DOUBLE / greatest(length(b.x), 1)), 6) AS cer FROM s a JOIN s b ON b.item_id = a.item_id + 1",
-    }
+    } | catalog_state.oracle_sql(_BM25)
 
 
 def queries():
     names = (content_ids, search_bm25, search_cosine, search_fused, search_hybrid, search_stemmed, item_blueprint, formula_values, hit_rates, chunk_stats, sentence_counts, source_support, copied_items, latest_attempts, due_retries, section_mastery, weak_topics, exam_blueprint, chapter_rollup, label_rates, chat_window, item_error_rates, item_text_error_rates, hit_rates_by_parity, label_catch_rates, event_threshold, leak_check, event_rates, call_scores, refusals, retry_schedule, nation_mindmap, deck_ids, tool_faults, diagram_problems, calculations, question_shares, marked_answers, cleaned_readings, note_pages)
-    return {f.__name__: f for f in names}
+    return {f.__name__: f for f in names} | catalog_state.queries()

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formulas import marks_met
 from ..functions.text import strip_space
 from . import practice
 from .agent import strip_thinking
+from .ordering import numbered
 from .verify import formula_fault, nearest_copy, question_faults, verify_notes
 
 Model = Callable[[Column], Column]
@@ -50,10 +51,11 @@ QUESTIONS = "struct<questions:array<struct<question:string,answer:string,marks:i
 def question_calls(sections: DataFrame, count: int) -> DataFrame:
     """``sections`` (sid, ord, text) with ``call`` and ``wanted``: ``count`` questions spread evenly, the earlier sections first, at most ``CALL`` a call.
 
-    Sections without text get none. Places are numbered over one sorted run of (ord, sid), which holds no texts.
+    Sections without text get none. Places are numbered range by range, without a task that holds all sections.
     """
     usable = sections.where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    places = usable.select("sid", "ord").withColumn("i", F.row_number().over(Window.orderBy("ord", "sid"))).withColumn("n", F.count("*").over(Window.partitionBy()))
+    places = numbered(usable.select("sid", "ord"), "ord", "sid", name="i")
+    places = places.join(F.broadcast(places.agg(F.count("*").alias("n"))))
     share = F.floor(F.lit(count) / F.col("n")) + F.when(F.col("i") <= F.lit(count) % F.col("n"), 1).otherwise(0)
     shares = places.select("sid", share.cast("int").alias("share")).where("share > 0")
     calls = shares.select("sid", "share", F.explode(F.sequence(F.lit(0), F.floor((F.col("share") - 1) / CALL).cast("int"))).alias("call"))
@@ -84,13 +86,15 @@ def grade_answers(answers: DataFrame, model: Model, *keep: str) -> DataFrame:
     """(keep..., awarded, met, missing, by_formula, feedback) of ``answers`` (question, marking_points, answer, most).
 
     A point is met if the model says so or an equal formula stands in the answer. Empty answers and questions
-    without points get nothing; the model's reply for them is not read.
+    without points get nothing; they are parted from the others before the call, so the model never sees them.
     """
     points, answer = F.coalesce("marking_points", F.array().cast("array<string>")), F.coalesce("answer", F.lit(""))
     listed = F.array_join(F.transform(points, lambda p, i: F.concat((i + 1).cast("string"), F.lit(". "), p)), "\n")
     prompt = F.concat_ws("\n\n", F.lit("Mark the answer. Reply as JSON with points_met and feedback."), "question", listed, answer)
-    a = answers.withColumn("_empty", (strip_space(answer) == "") | (F.size(points) == 0)).withColumn("_points", points)
-    a = a.withColumn("_read", F.from_json(strip_thinking(model(prompt)), "struct<points_met:array<boolean>,feedback:string>")).withColumn("_formula", marks_met(F.col("_points"), answer))
+    empty, shape = (strip_space(answer) == "") | (F.size(points) == 0), "struct<points_met:array<boolean>,feedback:string>"
+    asked = answers.where(~empty).withColumn("_read", F.from_json(strip_thinking(model(prompt)), shape)).withColumn("_empty", F.lit(False))
+    rest = answers.where(empty).withColumn("_read", F.lit(None).cast(shape)).withColumn("_empty", F.lit(True))
+    a = asked.unionByName(rest).withColumn("_points", points).withColumn("_formula", marks_met(F.col("_points"), answer))
     said = lambda i: F.coalesce(F.get("_read.points_met", i), F.lit(False))
     met = F.transform("_points", lambda p, i: ~F.col("_empty") & (said(i) | F.get("_formula", i)))
     a = a.withColumn("_met", met)
