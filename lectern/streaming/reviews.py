@@ -1,7 +1,7 @@
 """Review schedules kept as state of a stream: each question's memory, and a timer for when it comes due.
 
 State holds the question's attempts (three numbers each), so the memory equals ``schedule.memory`` of the same attempts
-however they fall into batches and in whatever order they come. A timer of event time tells when the
+however they fall into batches, and in whatever order they come within the time that late ones have. A timer of event time tells when the
 watermark has passed the due time of a question that was not answered since.
 """
 
@@ -86,8 +86,8 @@ class Reviews(StatefulProcessor):
 def review_stream(attempts: DataFrame, late: str = "0 seconds") -> DataFrame:
     """(question, kind, reviews, stability, difficulty, due_at) of a stream of attempts (question string, id, answered_at, grade).
 
-    Needs the state store ``PROVIDER`` (``spark.sql.streaming.stateStore.providerClass``). Attempts later than ``late`` before
-    the newest are still taken, as state is never dropped; ``late`` only delays the timers.
+    Needs the state store ``PROVIDER`` (``spark.sql.streaming.stateStore.providerClass``). Attempts of up to ``late`` before the
+    newest seen are taken in any order; Spark leaves out older ones. Timers wait as long.
     """
     rows = attempts.select("question", "id", "answered_at", "grade").withWatermark("answered_at", late)
     return rows.groupBy("question").transformWithState(statefulProcessor=Reviews(), outputStructType=OUT, outputMode="Update", timeMode="EventTime")
