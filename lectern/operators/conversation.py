@@ -41,15 +41,20 @@ def one_round(state: DataFrame, model: Model, run: Run, keep: Callable[[DataFram
     lost = lost.select("conv_id", F.when(first, F.concat("history", F.array(_said("user", F.lit(AGAIN))))).otherwise(F.col("history")).alias("history"), "results", steps, F.when(first, 1).otherwise(F.col("retries")).cast("int").alias("retries"), F.when(~first, "failed").alias("stopped"), F.lit(None).cast("string").alias("answer"))
     done = asked.where("size(calls) = 0").select("conv_id", "history", "results", steps, "retries", F.lit("answered").alias("stopped"), agent.strip_thinking(F.col("reply")).alias("answer"))
     calling = asked.where("size(calls) > 0")
-    calls = calling.select("conv_id", "history", F.posexplode("calls").alias("i", "call")).select("conv_id", "history", "i", "call.name", "call.arguments")
-    calls = keep(calls.withColumn("fault", tools.call_fault(F.col("name"), F.col("arguments"))), "faults")
+    calls = calling.select("conv_id", F.posexplode("calls").alias("i", "call")).select("conv_id", "i", "call.name", "call.arguments")
+    named = [r.name for r in calls.where(F.col("name").isin(*tools.TOOLS)).select("name").distinct().collect()]  # as many as tools at most
+    calls = keep(calls.withColumn("fault", tools.call_fault(F.col("name"), F.col("arguments"), named)), "faults")
     # calls of known tools that don't fit are asked for again, and only they
     wrong = calls.where(F.col("fault").isNotNull() & F.col("name").isin(*tools.TOOLS))
-    request = F.concat(F.lit("The arguments of "), F.col("name"), F.lit(" don't fit ("), F.col("fault"), F.lit("). Give its arguments again as JSON, from what was said here."))
-    filled = keep(wrong.select("conv_id", "i", "name", model(F.to_json(F.concat("history", F.array(_said("user", request))))).alias("given")), "filled")
-    filled = filled.where(tools.call_fault(F.col("name"), F.col("given")).isNull()).select("conv_id", "i", "given")
-    known = calls.drop("history").join(filled, ["conv_id", "i"], "left")
-    known = keep(known.select("conv_id", "i", "name", F.coalesce("given", "arguments").alias("arguments"), F.when(F.col("given").isNull(), F.col("fault")).alias("fault"), F.col("given").isNotNull().alias("filled")), "calls")
+    if wrong.limit(1).count():
+        request = F.concat(F.lit("The arguments of "), F.col("name"), F.lit(" don't fit ("), F.col("fault"), F.lit("). Give its arguments again as JSON, from what was said here."))
+        prompt = F.to_json(F.concat("history", F.array(_said("user", request))))
+        filled = keep(wrong.join(calling.select("conv_id", "history"), "conv_id").select("conv_id", "i", "name", model(prompt).alias("given")), "filled")
+        filled = filled.where(tools.call_fault(F.col("name"), F.col("given"), named).isNull()).select("conv_id", "i", "given")
+        calls = calls.join(filled, ["conv_id", "i"], "left")
+    else:
+        calls = calls.withColumn("given", F.lit(None).cast("string"))
+    known = keep(calls.select("conv_id", "i", "name", F.coalesce("given", "arguments").alias("arguments"), F.when(F.col("given").isNull(), F.col("fault")).alias("fault"), F.col("given").isNotNull().alias("filled")), "calls")
     results = run(known.where("fault is null").select("conv_id", "i", "name", "arguments")).select("conv_id", "i", F.col("content").alias("got"))
     content = F.when(F.col("fault").isNotNull(), F.concat(F.lit("error: "), "fault")).otherwise(F.coalesce("got", F.lit("error: the tool gave nothing")))
     got = known.join(results, ["conv_id", "i"], "left").select("conv_id", F.struct("i", "name", "arguments", "fault", "filled", content.alias("content")).cast(CALL).alias("r"))

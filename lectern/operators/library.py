@@ -71,3 +71,15 @@ def distinct_by_first(ranked: DataFrame, query: str, *key: str) -> DataFrame:
 def unmatched(questions: DataFrame, matches: DataFrame, key: str) -> DataFrame:
     """(unmatched): how many questions have no match."""
     return questions.select(key).distinct().join(matches.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("unmatched"))
+
+
+def find_section(sections: DataFrame, documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, doc_id, sid, ...) for each id of ``asked`` (asked): the section of that id in the document added first (``added_at``, then doc_id)."""
+    met = asked.join(sections, F.col("asked") == F.col("sid")).join(documents.select("doc_id", "added_at"), "doc_id")
+    rest = [c for c in met.columns if c not in ("asked", "added_at")]
+    return met.groupBy("asked").agg(F.min_by(F.struct(*rest), F.struct("added_at", "doc_id")).alias("x")).select("asked", "x.*")
+
+
+def notes_of(sections: DataFrame, notes: DataFrame) -> DataFrame:
+    """The notes of ``sections`` (doc_id, sid, ord), in their order; sections without notes fall out."""
+    return notes.join(sections.select("doc_id", "sid", "ord"), ["doc_id", "sid"]).orderBy("doc_id", "ord")

@@ -93,11 +93,16 @@ def faults(v: Column, spec: dict, path: Column) -> Column:
     return F.when(~F.startswith(kind, F.lit("OBJECT")) | kind.isNull(), F.array(F.concat(path, F.lit(": an object wanted")))).otherwise(F.concat(*parts, other))
 
 
-def call_fault(name: Column, arguments: Column) -> Column:
-    """Why a call (name, arguments as JSON) can't be run, the first ``SHOWN`` reasons; null for one that can."""
+def call_fault(name: Column, arguments: Column, among: list[str] | None = None) -> Column:
+    """Why a call (name, arguments as JSON) can't be run, the first ``SHOWN`` reasons; null for one that can.
+
+    ``among`` names the tools that the calls may be of, where that is known: conditions of others are left out of the plan.
+    """
     read = F.try_parse_json(arguments)
     out = F.when(name.isNull() | ~name.isin(*TOOLS), F.concat(F.lit("unknown tool "), F.coalesce(name, F.lit("")))).when(read.isNull(), "arguments were not valid JSON")
     for tool, spec in TOOLS.items():
+        if among is not None and tool not in among:
+            continue
         wrong = F.slice(faults(read, spec, F.lit("")), 1, SHOWN)
         out = out.when(name == tool, F.nullif(F.array_join(wrong, "; "), F.lit("")))
     return out
