@@ -62,20 +62,49 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+class _Known(dict):
+    """word -> ratio, remembered for a bounded number of words."""
+
+    def __init__(self, model: KneserNey, most: int = 60_000):
+        self.model, self.most = model, most
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[word] = self.model.of(word)
+        return value
+
+
 class KneserNey:
-    """The log-likelihood ratio of each known word between the classes, and of all others."""
+    """The log-likelihood ratio of each known word between the classes, and of all others.
 
-    def __init__(self, counts: dict[str, tuple[int, int]], total: tuple[int, int], kinds: tuple[int, int]):
-        """``counts``: continuation counts (ordinary, toxic) of each word; ``total``: their sums; ``kinds``: words of each class."""
+    Words are held by their 64-bit hashes, 16 bytes for each, so that a worker's memory is that of two arrays.
+    """
+
+    def __init__(self, words: list[str], ordinary: np.ndarray, toxic: np.ndarray, total: tuple[int, int], kinds: tuple[int, int]):
+        """``ordinary``, ``toxic``: continuation counts of each word; ``total``: their sums; ``kinds``: words of each class."""
         share = [DISCOUNT * t / max(n, 1) for n, t in zip(total, kinds, strict=True)]
-        shared = sum(kinds) + 1
-        self.ratio = {}
-        for w, pair in counts.items():
-            back = sum(n > 0 for n in pair) / shared
-            ordinary, toxic = (max(n - DISCOUNT, 0.0) / max(all_, 1) + s * back for n, all_, s in zip(pair, total, share, strict=True))
-            self.ratio[w] = float(np.log(toxic) - np.log(ordinary))
+        back = ((ordinary > 0).astype(float) + (toxic > 0)) / (sum(kinds) + 1)
+        p = [np.maximum(n - DISCOUNT, 0.0) / max(all_, 1) + s * back for n, all_, s in zip((ordinary, toxic), total, share, strict=True)]
+        keys = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], (np.log(p[1]) - np.log(p[0]))[order]
         # a word of neither class has the backoff's probability in both
         self.other = float(np.log(share[1]) - np.log(share[0]))
+        self.known = _Known(self)
+
+    def __getstate__(self):
+        return self.keys, self.values, self.other
+
+    def __setstate__(self, state):
+        self.keys, self.values, self.other = state
+        self.known = _Known(self)
+
+    def of(self, word: str) -> float:
+        """The ratio of a word."""
+        key = np.uint64(xxhash.xxh64_intdigest(word))
+        at = int(np.searchsorted(self.keys, key))
+        return float(self.values[at]) if at < len(self.keys) and self.keys[at] == key else self.other
 
     def figure(self, text: str | None, tau: float) -> float:
         """The length-normalised ratio of a text."""
@@ -85,8 +114,7 @@ class KneserNey:
         w = words(text)
         if not w:
             return [0.0] * len(taus)
-        get, other = self.ratio.get, self.other
-        r = np.array([get(x, other) for x in w])
+        r = np.fromiter(map(self.known.__getitem__, w), np.float64, len(w))
         r -= median(r) if len(r) < 64 else np.median(r)
         far, root = np.abs(r), np.sqrt(len(set(w)))
         return [float((np.sign(r) * np.maximum(far - t, 0.0)).mean() * root) for t in taus]
@@ -160,8 +188,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Scor
         return None
     # no more words than the sampled texts hold
     kept = counts.select("word", "ordinary", "toxic").toArrow()
-    pairs = zip(kept["ordinary"].to_pylist(), kept["toxic"].to_pylist(), strict=True)
-    model = KneserNey(dict(zip(kept["word"].to_pylist(), pairs, strict=True)), (total[0], total[1]), (total[2], total[3]))
+    model = KneserNey(kept["word"].to_pylist(), kept["ordinary"].to_numpy(), kept["toxic"].to_numpy(), (total[0], total[1]), (total[2], total[3]))
     held = texts.where("part") if {(0, True), (1, True)} <= have else texts
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
